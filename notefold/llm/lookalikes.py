@@ -49,6 +49,8 @@ SPACE = re.compile(f"[{SPACES}]")
 WORD = re.compile(r"[A-Za-zÀ-ÿ][A-Za-z0-9À-ÿ]+")
 LATIN = re.compile("[A-Za-z]")
 TRANSLATE = {ord(c): None for c in IGNORABLE} | {ord(c): " " for c in SPACES}
+#: A mark whose letter stands on another line has nothing to join.
+LONE_MARK = re.compile(f"^[{MARKS}]+")
 TABLE_RANGE = re.compile(f"[{FULLWIDTH}{COMPAT}]+")
 
 
@@ -105,6 +107,7 @@ class Trie:
 def by_table(token: str) -> str:
     """Canonical form of a token by table alone: look-alikes change only in company of Latin letters."""
     t = unicodedata.normalize("NFC", token.translate(TRANSLATE))
+    t = LONE_MARK.sub("", t)
     t = TABLE_RANGE.sub(lambda m: unicodedata.normalize("NFKC", m.group(0)), t)
     if LATIN.search(t):
         parts = re.split(f"([{OTHER}]+)", t)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from notefold.llm import lookalikes, template_residue
+from notefold.llm import lookalikes, markup, template_residue
 from notefold.sources.tables import table
 
 QUERIES = {
@@ -10,5 +10,8 @@ QUERIES = {
     "p2_normalized": lambda s, d: lookalikes.normalized(lookalikes.texts_of(table(s, d, "notes"), table(s, d, "ocr_results"))).select("field", "record_key", "normal"),
     "p3_found": lambda s, d: template_residue.residue_found(table(s, d, "notes")),
     "p3_real_content": lambda s, d: template_residue.real_content(table(s, d, "notes")).select("note_id", "title", "body_text").distinct(),
+    "p7_found": lambda s, d: markup.markup_found(markup.pages_of(table(s, d, "notes"), table(s, d, "ocr_results"))),
+    "p7_clean": lambda s, d: markup.clean_texts(markup.pages_of(table(s, d, "notes"), table(s, d, "ocr_results"))),
+    "p7_style_tree": lambda s, d: markup.style_tree(markup.pages_of(table(s, d, "notes"), table(s, d, "ocr_results"))),
 }
 SQL: dict[str, str] = {}
