@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from notefold.llm import lookalikes, markup, personal, template_residue
+from notefold.llm import garbled, lookalikes, markup, personal, template_residue
 from notefold.sources.tables import table
 
 QUERIES = {
@@ -15,5 +15,7 @@ QUERIES = {
     "p7_found": lambda s, d: markup.markup_found(markup.pages_of(table(s, d, "notes"), table(s, d, "ocr_results"))),
     "p7_clean": lambda s, d: markup.clean_texts(markup.pages_of(table(s, d, "notes"), table(s, d, "ocr_results"))),
     "p7_style_tree": lambda s, d: markup.style_tree(markup.pages_of(table(s, d, "notes"), table(s, d, "ocr_results"))),
+    "p10_found": lambda s, d: garbled.garbled_found(table(s, d, "documents")),
+    "p10_restored": lambda s, d: garbled.restored(table(s, d, "documents")),
 }
 SQL: dict[str, str] = {}
