@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from notefold.llm import garbled, lookalikes, markup, personal, template_residue
+from notefold.llm import bpe, garbled, lookalikes, markup, packing, personal, template_residue
 from notefold.sources.tables import table
 
 QUERIES = {
@@ -17,5 +17,8 @@ QUERIES = {
     "p7_style_tree": lambda s, d: markup.style_tree(markup.pages_of(table(s, d, "notes"), table(s, d, "ocr_results"))),
     "p10_found": lambda s, d: garbled.garbled_found(table(s, d, "documents")),
     "p10_restored": lambda s, d: garbled.restored(table(s, d, "documents")),
+    "p8_ids": lambda s, d: bpe.encode_corpus(table(s, d, "documents")),
+    "p9_packed": lambda s, d: packing.pack_documents(table(s, d, "documents"), table(s, d, "pack_capacities")),
+    "p9_fill": lambda s, d: packing.fill(packing.pack_documents(table(s, d, "documents"), table(s, d, "pack_capacities"))),
 }
 SQL: dict[str, str] = {}
