@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from notefold.llm import bpe, garbled, lookalikes, markup, packing, personal, template_residue
+from notefold.llm import bpe, garbled, lookalikes, markup, near_copies, packing, personal, template_residue
 from notefold.sources.tables import table
 
 QUERIES = {
@@ -10,6 +10,8 @@ QUERIES = {
     "p2_normalized": lambda s, d: lookalikes.normalized(lookalikes.texts_of(table(s, d, "notes"), table(s, d, "ocr_results"))).select("field", "record_key", "normal"),
     "p3_found": lambda s, d: template_residue.residue_found(table(s, d, "notes")),
     "p3_real_content": lambda s, d: template_residue.real_content(table(s, d, "notes")).select("note_id", "title", "body_text").distinct(),
+    "p5_found": lambda s, d: near_copies.copies_found(lookalikes.texts_of(table(s, d, "notes"), table(s, d, "ocr_results"))),
+    "p5_groups": lambda s, d: near_copies.copy_groups(lookalikes.texts_of(table(s, d, "notes"), table(s, d, "ocr_results"))),
     "p6_found": lambda s, d: personal.personal_found(lookalikes.texts_of(table(s, d, "notes"), table(s, d, "ocr_results"))),
     "p6_redacted": lambda s, d: personal.redacted(lookalikes.texts_of(table(s, d, "notes"), table(s, d, "ocr_results"))),
     "p7_found": lambda s, d: markup.markup_found(markup.pages_of(table(s, d, "notes"), table(s, d, "ocr_results"))),
