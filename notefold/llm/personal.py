@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notefold.functions.arrow import flat_map_batches
+from notefold.functions.checkpoint import settle
 
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
@@ -177,7 +178,7 @@ def names(occ: DataFrame, least_rate: float = 0.2) -> DataFrame:
 
 def personal_found(texts: DataFrame) -> DataFrame:
     """Distinct (field, record_key, kind)."""
-    occ = occurrences(texts)
+    occ = settle(occurrences(texts))
     named = occ.where(F.col("kind") == "name").join(names(occ), "term", "left_semi").select("field", "record_key", "kind")
     return occ.where(F.col("kind") != "name").select("field", "record_key", "kind").unionByName(named).distinct()
 
@@ -206,7 +207,7 @@ def redact(text: str | None, known: set[str] | None) -> str | None:
 
 def redacted(texts: DataFrame) -> DataFrame:
     """(field, record_key, redacted) of every distinct text."""
-    occ = occurrences(texts)
+    occ = settle(occurrences(texts))
     per = occ.where(F.col("kind") == "name").join(names(occ), "term", "left_semi").groupBy("field", "record_key").agg(F.collect_set("term").alias("terms"))
 
     def apply(fields, keys, column, terms):
