@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from notefold.llm import bpe, garbled, lookalikes, markup, near_copies, packing, personal, template_residue
+from notefold.llm import bpe, garbled, lookalikes, markup, near_copies, packing, personal, scan_noise, template_residue
 from notefold.sources.tables import table
 
 QUERIES = {
+    "p1_found": lambda s, d: scan_noise.noise_found(table(s, d, "ocr_results")),
+    "p1_paragraphs": lambda s, d: scan_noise.paragraphs(table(s, d, "ocr_results")),
     "p2_found": lambda s, d: lookalikes.lookalikes_found(lookalikes.texts_of(table(s, d, "notes"), table(s, d, "ocr_results"))),
     "p2_normalized": lambda s, d: lookalikes.normalized(lookalikes.texts_of(table(s, d, "notes"), table(s, d, "ocr_results"))).select("field", "record_key", "normal"),
     "p3_found": lambda s, d: template_residue.residue_found(table(s, d, "notes")),
