@@ -107,10 +107,10 @@ class Model:
         """Share of a unit's counts that are not misreadings: small where far better known readings exist."""
         return 1.0 if not alts or len(unit) == 1 else 0.0 if INNER_SIGN.search(unit) else 0.2
 
-    def follows(self, a: str, b: str, trust: float = 1.0) -> float:
+    def follows(self, a: str, b: str, trust_a: float, trust_b: float) -> float:
         """Log probability of b after a, backed off to b alone."""
-        alone = (trust * self.count(b) + 0.01) / self.total
-        return math.log((trust * self.pair(a, b) + 4.0 * alone) / (self.count(a) + 4.0))
+        alone = (trust_b * self.count(b) + 0.01) / self.total
+        return math.log((trust_a * trust_b * self.pair(a, b) + 4.0 * alone) / (trust_a * self.count(a) + 4.0))
 
     def alternatives(self, unit: str) -> list[tuple[str, float]]:
         """(word, log channel probability) of what the unit may have been; empty when nothing better is known."""
@@ -217,15 +217,15 @@ def model_of(texts: DataFrame) -> Model:
 
 def viterbi(units: list[str], options: list[list[tuple[str, float]]], model: Model) -> list[str]:
     """The likeliest words of a line under channel and bigram model."""
-    states = [("", 0.0, ())]  # word, score, path
+    states = [("", 1.0, 0.0, ())]  # word, trust in its counts, score, path
     for unit, alts in zip(units, options):
         nxt = []
         for word, channel in [(unit, math.log(0.95)), *alts]:
             trust = model.trust(unit, alts) if word == unit else 1.0
-            score, path = max(((s + model.follows(w, word, trust), p) for w, s, p in states), key=lambda x: x[0])
-            nxt.append((word, score + channel, (*path, word)))
+            score, path = max(((s + model.follows(w, word, tw, trust), p) for w, tw, s, p in states), key=lambda x: x[0])
+            nxt.append((word, trust, score + channel, (*path, word)))
         states = nxt
-    return list(max(states, key=lambda s: s[1])[2])
+    return list(max(states, key=lambda s: s[2])[3])
 
 
 def misread(text: str, model: Model) -> list[tuple[str, str]]:
