@@ -37,5 +37,5 @@ def facets(df: DataFrame, columns: list[str], other: str = "未分类") -> DataF
 
 def markdown(title: Column, body: Column, ocr: Column, fields: dict[str, Column]) -> Column:
     """A note as Markdown with a YAML head; values are quoted as JSON strings, which YAML reads."""
-    head = F.concat_ws("\n", *(F.concat(F.lit(f"{k}: "), F.coalesce(F.regexp_replace(F.to_json(F.struct(v.cast("string").alias("v"))), r'^\{"v":(.*)\}$', "$1"), F.lit("null"))) for k, v in fields.items()))
+    head = F.concat_ws("\n", *(F.concat(F.lit(f"{k}: "), F.when(v.isNull(), "null").otherwise(F.regexp_replace(F.to_json(F.struct(v.cast("string").alias("v"))), r'^\{"v":(.*)\}$', "$1"))) for k, v in fields.items()))
     return F.concat_ws("\n", F.lit("---"), head, F.lit("---"), F.concat(F.lit("# "), F.coalesce(title, F.lit(""))), F.coalesce(body, F.lit("")), F.when(F.length(ocr) > 0, F.concat(F.lit("## OCR\n"), ocr)))

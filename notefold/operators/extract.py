@@ -22,7 +22,8 @@ ID_KEYS = ["noteid", "noteidstr", "noteids"]
 CONTEXT_KEYS = ["cover", "coverurl", "displaytitle", "interactinfo", "imagelist", "notecard", "notetype", "xsectoken"]
 NOTE_PATH = re.compile(r"/(?:explore|discovery/item)/([0-9A-Za-z_-]{8,80})")
 BARE_ID = re.compile(r"^[0-9A-Za-z_-]{8,80}$")
-NOTE = T._parse_datatype_string("title string, body string, author string, author_id string, published string, images array<string>, tags array<string>")
+_TEXT, _TEXTS = T.StringType(), T.ArrayType(T.StringType())
+NOTE = T.StructType([T.StructField(n, _TEXTS if n in ("images", "tags") else _TEXT) for n in ("title", "body", "author", "author_id", "published", "images", "tags")])
 
 
 class _Page(HTMLParser):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from notefold.plans import timestamps
+from notefold.plans import archive, evidence, timestamps
 
-MODULES = [timestamps]
+MODULES = [archive, evidence, timestamps]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
-FLAGSHIP = "p4_found"
+FLAGSHIP = "discovery_report"

@@ -7,6 +7,7 @@ import struct
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def header(data: bytes | None) -> tuple[int | None, int | None, str | None]:
@@ -40,7 +41,7 @@ def header(data: bytes | None) -> tuple[int | None, int | None, str | None]:
     return none
 
 
-@F.pandas_udf("struct<width: int, height: int, format: string>")
+@F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("format", T.StringType())]))
 def image_header(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([header(c) for c in content], columns=["width", "height", "format"])
 
