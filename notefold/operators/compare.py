@@ -25,6 +25,13 @@ def engine_pairs(results: DataFrame, pairs: list[tuple[str, str]] | None = None,
     return both.where(F.col("l").isNotNull() & F.col("r").isNotNull()).select("note_id", "image_index", F.col("pair.a").alias("left_engine"), F.col("pair.b").alias("right_engine"), *(F.col(f"l.{c}").alias(f"left_{c}") for c in columns), *(F.col(f"r.{c}").alias(f"right_{c}") for c in columns))
 
 
+def page_against_blocks(results: DataFrame) -> DataFrame:
+    """Each page's text beside the text of its blocks, as two readings of one image."""
+    text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")
+    placed = F.array_sort(F.transform("blocks", lambda b: F.struct(F.get(b["box"], F.lit(1)).alias("y"), F.get(b["box"], F.lit(0)).alias("x"), b["text"].alias("text"), b["box"].alias("box"))))
+    return results.where(F.length("text") > 0).select("note_id", "image_index", "ocr_id", F.lit("text").alias("left_engine"), F.lit("blocks").alias("right_engine"), F.col("text").alias("left_text"), text.alias("right_text"), F.col("blocks").alias("left_blocks"), F.transform(placed, lambda b: F.struct(b["text"].alias("text"), b["box"].alias("box"))).alias("right_blocks")).dropDuplicates(["ocr_id"]).drop("ocr_id")
+
+
 def compared(pairs: DataFrame) -> DataFrame:
     """Agreement, lengths, and whether numbers, dates and terms agree; equal texts never reach Python."""
     left, right = X.normalize_signs(F.coalesce("left_text", F.lit(""))), X.normalize_signs(F.coalesce("right_text", F.lit("")))

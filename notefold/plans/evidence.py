@@ -9,12 +9,16 @@ from notefold.sources.tables import table
 from notefold.streaming import events as E
 
 
+def engine_pairs(s, d):
+    return compare.engine_pairs(table(s, d, "ocr_results"), columns=["text"])
+
+
 def text_compare(s, d):
-    return compare.compared(compare.engine_pairs(table(s, d, "ocr_results"), columns=["text"]))
+    return compare.compared(compare.page_against_blocks(table(s, d, "ocr_results")))
 
 
 def block_match(s, d):
-    return compare.block_matches(compare.engine_pairs(table(s, d, "ocr_results"), columns=["blocks"]))
+    return compare.block_matches(compare.page_against_blocks(table(s, d, "ocr_results")))
 
 
 def reading_order(s, d):
@@ -60,7 +64,7 @@ def snapshot_dedupe(s, d):
     return E.first_seen(table(s, d, "stage_events").select("event_id", "note_id", "stage", "created_at"), "created_at", ["note_id", "stage"]).select("note_id", "stage")
 
 
-QUERIES = {f.__name__: f for f in (text_compare, block_match, reading_order, page_parse, page_links, json_refs, json_state, events_window, events_session, snapshot_dedupe)}
+QUERIES = {f.__name__: f for f in (engine_pairs, text_compare, block_match, reading_order, page_parse, page_links, json_refs, json_state, events_window, events_session, snapshot_dedupe)}
 SQL = {
     "page_links": "SELECT DISTINCT note_id AS page, CAST(1 AS INTEGER) AS ord, regexp_extract(url, '/(?:explore|discovery/item)/([0-9A-Za-z_-]{8,80})', 1) AS note_id, url FROM notes WHERE url IS NOT NULL AND regexp_extract(url, '/(?:explore|discovery/item)/([0-9A-Za-z_-]{8,80})', 1) <> ''",
     "json_refs": "SELECT note_id AS k, note_id, 'c1' AS cursor, CAST(1 AS INTEGER) AS sequence, false AS has_more FROM (SELECT DISTINCT note_id, title FROM notes WHERE note_id IS NOT NULL)",
