@@ -52,8 +52,11 @@ HAN_FOLD = str.maketrans(HAN_FOLD)
 UNIT = re.compile(r"[A-Za-zÀ-ÿœ0-9@|$£]+|\p{Han}")
 WORDLIKE = re.compile(r"[A-Za-zÀ-ÿœ]")
 MASK = re.compile(r"[A-Za-z0-9._+-]++\s?[@＠#]\s?[A-Za-z0-9-]++\.[A-Za-z0-9.-]++|https?://\S+|[A-Za-z0-9._+-]++ ?[\[(](?:at|AT)[\])]|(?<![A-Za-z0-9._-])[A-Za-z]++(?:[._-][A-Za-z]++)++\d++")
+#: Signs without which there is nothing to mask.
+MASK_SIGNS = ("@", "＠", "#", "://", "[at", "(at", "[AT", "(AT")
 CAMEL = re.compile(r"(?<=[a-zà-ÿ0-9@|$£])(?=[A-Z])")
 COMPOUND = re.compile(r"[A-Za-zÀ-ÿ]+-[A-Za-zÀ-ÿ]+")
+LINE_HYPHEN = re.compile(r"[-‐‑¬][ \t]*\n")
 SPLIT_WORD = re.compile(r"([A-Za-zÀ-ÿœ0-9@]+)([-‐‑¬])[ \t]*\n[ \t]*([A-Za-zÀ-ÿœ0-9@]+)(?![A-Za-z0-9._-]*\s?[@＠#(\[])")
 
 
@@ -69,7 +72,7 @@ def slots(unit: str) -> tuple[int, int]:
 
 
 def units_of(text: str) -> list[str]:
-    return UNIT.findall(MASK.sub(" ", text))
+    return UNIT.findall(MASK.sub(" ", text) if any(s in text for s in MASK_SIGNS) else text)
 
 
 class Model:
@@ -183,30 +186,32 @@ class Model:
 def model_of(texts: DataFrame) -> Model:
     """Counts over every page; two arrays of BINS numbers reach the driver."""
     def count(batches):
+        a, b = np.zeros(BINS, np.int64), np.zeros(BINS, np.int64)
         for (column,) in batches:
-            one: Counter[str] = Counter()
-            two: Counter[tuple[str, str]] = Counter()
+            units: list[str] = []
+            compounds: list[str] = []
             for text in column:
-                units = units_of(text.replace("\n", " ") if text.isascii() else text)
-                one.update(units)
-                two.update(zip(units, units[1:]))
+                units += units_of(text.replace("\n", " ") if text.isascii() else text)
+                units.append("")
                 if "-" in text:
-                    one.update("-" + c for c in COMPOUND.findall(text))
-            parts: Counter[str] = Counter()
+                    compounds += COMPOUND.findall(text)
+            one = Counter(units)
+            two = Counter(zip(units, units[1:]))
+            del one[""]
+            parts: Counter[str] = Counter("-" + c for c in compounds)
             for u, n in one.items():
                 if len(u) > 3:
                     for p in CAMEL.split(u):
                         parts["." + p] += n
-            a = np.zeros(BINS, np.int64)
-            b = np.zeros(BINS, np.int64)
-            for table, counts in ((a, one), (a, parts), (b, {u + " " + v: n for (u, v), n in two.items()})):
-                for u, n in counts.items():
-                    i, j = slots(u)
-                    table[i] += n
-                    table[j] += n
-            for table, counts in ((0, a), (1, b)):
-                at = np.flatnonzero(counts)
-                yield from zip([table] * len(at), at.tolist(), counts[at].tolist())
+            for table, counts in ((a, one), (a, parts), (b, {u + " " + v: n for (u, v), n in two.items() if u and v})):
+                at = np.fromiter((xxhash.xxh64_intdigest(u) for u in counts), np.uint64, len(counts))
+                n = np.fromiter(counts.values(), np.int64, len(counts))
+                half = BINS // 2
+                np.add.at(table, (at & np.uint64(half - 1)).astype(np.int64), n)
+                np.add.at(table, half + ((at >> np.uint64(32)) & np.uint64(half - 1)).astype(np.int64), n)
+        for table, counts in ((0, a), (1, b)):
+            at = np.flatnonzero(counts)
+            yield from zip([table] * len(at), at.tolist(), counts[at].tolist())
 
     rows = flat_map_partitions(texts.select("text"), count, "which int, bin int, n bigint").groupBy("which", "bin").agg(F.sum("n").alias("n")).toArrow()
     which, at, n = (rows.column(c).to_numpy() for c in ("which", "bin", "n"))
@@ -257,7 +262,9 @@ def misread(text: str, model: Model) -> list[tuple[str, str]]:
 
 def split_words(text: str, model: Model) -> list[tuple[int, int, str]]:
     """(start, end, joined) of words split over a line end by a hyphen-like sign."""
-    out = []
+    out: list[tuple[int, int, str]] = []
+    if not LINE_HYPHEN.search(text):
+        return out
     for m in SPLIT_WORD.finditer(text):
         a, sign, b = m.groups()
         if not (WORDLIKE.search(a) and WORDLIKE.search(b)):
