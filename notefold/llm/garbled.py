@@ -86,7 +86,7 @@ def bins_of(text: str) -> np.ndarray:
 
 
 def bigram_table(docs: DataFrame) -> np.ndarray:
-    """Log probabilities of character bigrams by bin, counted over every text; BINS floats."""
+    """Log probabilities of character bigrams by bin (see log_probabilities), counted over every text; BINS floats."""
     def count(batches):
         total = np.zeros(BINS, np.int64)
         for (texts,) in batches:
@@ -99,7 +99,14 @@ def bigram_table(docs: DataFrame) -> np.ndarray:
     rows = flat_map_partitions(docs.select("text"), count, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(BINS)
     counts[rows.column("bin").to_numpy()] = rows.column("n").to_numpy()
-    return np.log((counts + 0.05) / (counts.sum() + 0.05 * BINS)).astype(np.float32)
+    return log_probabilities(counts)
+
+
+def log_probabilities(counts: np.ndarray) -> np.ndarray:
+    """Log probability by bin, less the corpus's mean: usual bigrams lie about 0 at every corpus size."""
+    seen = max(1, int((counts > 0).sum()))
+    logs = np.log((counts + 0.05) / (counts.sum() + 0.05 * seen))
+    return (logs - float((counts * logs).sum() / max(1.0, counts.sum()))).astype(np.float32)
 
 
 def score(text: str, lm: np.ndarray) -> tuple[float, int]:
@@ -124,7 +131,7 @@ class Likelihood:
 
     def __init__(self, text: str, lm: np.ndarray) -> None:
         b, high = bins_of(text)
-        low = np.flatnonzero(high & (lm[b] < LOW))
+        low = np.flatnonzero(high & (lm[b] < -LOW))
         #: Clusters of unlikely bigrams, the passages worth deciphering.
         cuts = np.flatnonzero(np.diff(low) > GAP) + 1
         self.clusters = [(int(c[0]), int(c[-1]) + 2, len(c)) for c in np.split(low, cuts)] if len(low) else []
@@ -149,12 +156,10 @@ def peel(run: str, enc: str) -> str | None:
 
 #: Encodings in which six characters of well-formed UTF-8 are no accident.
 DECISIVE = ("cp1252", "cp1251")
-#: Below this mean log probability a run is worth deciphering; usual text lies above.
-DOUBT = -9.0
-#: A bigram below this is unlikely; unlikely ones no further apart than GAP make a cluster.
-LOW = -11.0
+#: How far below the corpus's mean log probability a run is worth deciphering, and a bigram is unlikely.
+DOUBT, LOW, HAN_DOUBT = 1.6, 3.6, 4.1
+#: Unlikely bigrams no further apart than this make a cluster.
 GAP = 24
-HAN_DOUBT = -11.5
 
 
 def decipher(text: str, lm: np.ndarray, gains: dict | None = None) -> list[tuple[int, int, str, float, str | None]]:
@@ -202,7 +207,7 @@ def decipher(text: str, lm: np.ndarray, gains: dict | None = None) -> list[tuple
                 for m in rx.finditer(text, c0, c1):
                     s, e = m.span()
                     base, n = own.of(max(0, s - 1), min(len(text), e + 1))
-                    if n < 2 or base > DOUBT:
+                    if n < 2 or base > -DOUBT:
                         continue
                     run = m.group(0)
                     kinds = len({c for c in run if c > "\x7f"})
@@ -224,7 +229,7 @@ def decipher(text: str, lm: np.ndarray, gains: dict | None = None) -> list[tuple
     for m in HAN_RUN.finditer(text):
         s, e = m.span()
         base, n = own.of(s, e)
-        if base > HAN_DOUBT:
+        if base > -HAN_DOUBT:
             continue
         run = m.group(0)
         raw = run.replace("�", "?").encode("gb18030", "replace")

@@ -54,7 +54,7 @@ GRAMMARS: dict[str, dict[str, str]] = {
     "wiki": {
         "link": r"\[\[(?:[^\[\]\n]|\n(?!\n)){1,200}?\]\]|\[\[(?=[^\s\[\]])|(?<=[^\s\[\]])\]\]",
         "external": r"\[https?://[^\s\[\]]+(?:\s[^\[\]\n]*)?\]",
-        "heading": r"^[ \t]*(={2,6})[ \t]*[^=\n]+?[ \t]*\1[ \t]*$",
+        "heading": r"^[ \t]*(?P<marks>={2,6})[ \t]*[^=\n]+?[ \t]*(?P=marks)[ \t]*$",
         "quote": r"(?<!')'{2,3}(?!')",
         "table": r"^[ \t]*(?:\{\|(?!\|)|\|\}(?!\})|\|-[ \t]*$|![^!\n]+!!)|^[ \t]*\|[^|\n]*\|\|",
         "template": r"\{\{[A-Za-z][^{}|\n]{0,40}\|[^{}]{0,200}\}\}",
