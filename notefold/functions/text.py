@@ -130,3 +130,18 @@ def within(child: Column, root: Column) -> Column:
 
 def lenient_int(c: Column) -> Column:
     return F.floor(c.try_cast("double")).try_cast("bigint")
+
+
+#: Marks of a page that asks for a login or a check.
+AUTH_MARKERS = ["登录后查看", "请登录", "扫码登录", "安全验证", "验证码", "访问频繁", "captcha", "CAPTCHA", "verify"]
+
+
+def asks_for_login(c: Column) -> Column:
+    return any_marker(c, AUTH_MARKERS)
+
+
+def valid_board_url(c: Column, hosts: list[str]) -> Column:
+    """https, an allowed host (a final dot aside), no user part, port 443 or none, a path below /board/; else false."""
+    m = r"^https://([^/?#@:]+)(?::(\d+))?(/board/[^?#]+)(?:[?#].*)?$"
+    host = F.lower(F.regexp_replace(F.regexp_extract(strip(c), m, 1), r"\.$", ""))
+    return F.coalesce(host.isin(hosts) & F.regexp_extract(strip(c), m, 2).isin("", "443"), F.lit(False))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from notefold.functions import compare as C
+from notefold.functions import text as X
 from notefold.operators import compare, extract
 from notefold.sources.tables import table
 from notefold.streaming import events as E
@@ -25,6 +27,27 @@ def reading_order(s, d):
     return compare.inversions(block_match(s, d))
 
 
+def ocr_metrics(s, d):
+    """Error rates of the blocks' text against the page text; equal pairs never reach Python."""
+    p = compare.page_against_blocks(table(s, d, "ocr_results"))
+    same = F.coalesce(F.col("left_text") == F.col("right_text"), F.lit(False))
+    zero = lambda c: F.when(same, F.lit(0.0)).otherwise(c)
+    rates = p.select(zero(C.char_error_rate("left_text", "right_text")).alias("cer"), zero(C.line_miss_rate("left_text", "right_text")).alias("missing"), zero(C.read_order_error("left_text", "right_text")).alias("order"), zero(C.list_error_rate(X.numbers(F.col("left_text")), X.numbers(F.col("right_text")))).alias("numbers"))
+    return rates.agg(*(F.round(F.avg(c), 6).alias(c) for c in ("cer", "missing", "order", "numbers")), F.count("*").alias("pages"), F.count_if((F.col("cer") <= 0.01) & (F.col("missing") == 0) & (F.col("order") == 0)).alias("auto_pass"))
+
+
+def critical_tokens(s, d):
+    """Tokens that matter in each page, by category, in code point order."""
+    o = table(s, d, "ocr_results").where(F.length("text") > 0).select("ocr_id", "text").distinct()
+    return o.select("ocr_id", F.array_join(C.token_set("text"), "|").alias("tokens"))
+
+
+def review_text(s, d):
+    """Note titles without markup, signs, width or case, and as file names."""
+    n = table(s, d, "notes").where(F.col("title").isNotNull()).select("note_id", "title").distinct()
+    return n.select("note_id", C.normalized("title").alias("norm"), C.safe_filename("title").alias("file_name"))
+
+
 def _pages(s, d):
     """Note rows as captured pages; the tables hold no HTML snapshots."""
     n = table(s, d, "notes").where(F.col("url").isNotNull()).select("note_id", "url", "title", "author_name", "body_text").distinct()
@@ -64,7 +87,7 @@ def snapshot_dedupe(s, d):
     return E.first_seen(table(s, d, "stage_events").select("event_id", "note_id", "stage", "created_at"), "created_at", ["note_id", "stage"]).select("note_id", "stage")
 
 
-QUERIES = {f.__name__: f for f in (engine_pairs, text_compare, block_match, reading_order, page_parse, page_links, json_refs, json_state, events_window, events_session, snapshot_dedupe)}
+QUERIES = {f.__name__: f for f in (engine_pairs, text_compare, block_match, reading_order, ocr_metrics, critical_tokens, review_text, page_parse, page_links, json_refs, json_state, events_window, events_session, snapshot_dedupe)}
 SQL = {
     "page_links": "SELECT DISTINCT note_id AS page, CAST(1 AS INTEGER) AS ord, regexp_extract(url, '/(?:explore|discovery/item)/([0-9A-Za-z_-]{8,80})', 1) AS note_id, url FROM notes WHERE url IS NOT NULL AND regexp_extract(url, '/(?:explore|discovery/item)/([0-9A-Za-z_-]{8,80})', 1) <> ''",
     "json_refs": "SELECT note_id AS k, note_id, 'c1' AS cursor, CAST(1 AS INTEGER) AS sequence, false AS has_more FROM (SELECT DISTINCT note_id, title FROM notes WHERE note_id IS NOT NULL)",

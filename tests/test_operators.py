@@ -140,3 +140,8 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.table("w").collect()} == {tuple(r) for r in events.windows(df, "ts", ["kind"]).collect()}
+
+
+@pytest.mark.parametrize("url,ok", [("https://h.example/board/1", True), ("https://h.example.:443/board/1?x=1", True), ("http://h.example/board/1", False), ("https://u@h.example/board/1", False), ("https://h.example.evil/board/1", False), ("https://h.example:8443/board/1", False), ("https://h.example/explore/1", False), (None, False)])
+def test_board_url(spark, url, ok):
+    assert one(spark, url, lambda c: X.valid_board_url(c, ["h.example"])) is ok
