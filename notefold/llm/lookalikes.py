@@ -203,4 +203,4 @@ def normalized(texts: DataFrame) -> DataFrame:
         for f, k, text, c in zip(fields, keys, column, canons):
             yield f, k, text, normalize_text(text, dict(c) if c else None)
 
-    return flat_map_batches(texts.distinct().join(per, ["field", "record_key"], "left").select("field", "record_key", "text", "canon"), apply, "field string, record_key string, text string, normal string")
+    return flat_map_batches(texts.select("field", "record_key", "text").distinct().join(per, ["field", "record_key"], "left").select("field", "record_key", "text", "canon"), apply, "field string, record_key string, text string, normal string")

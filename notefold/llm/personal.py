@@ -214,4 +214,4 @@ def redacted(texts: DataFrame) -> DataFrame:
         for f, k, text, t in zip(fields, keys, column, terms):
             yield f, k, redact(text, set(t) if t else None)
 
-    return flat_map_batches(texts.distinct().join(per, ["field", "record_key"], "left").select("field", "record_key", "text", "terms"), apply, "field string, record_key string, redacted string")
+    return flat_map_batches(texts.select("field", "record_key", "text").distinct().join(per, ["field", "record_key"], "left").select("field", "record_key", "text", "terms"), apply, "field string, record_key string, redacted string")
