@@ -1,10 +1,16 @@
 """Text decoded with the wrong encoding: found, and restored where possible (problem 10).
 
 A code-page swap (bytes of encoding R read as W) is a substitution cipher over
-bytes. Character bigrams of the whole corpus, counted into a table of fixed size,
+bytes. Character bigrams of the whole corpus, counted into tables of fixed size,
 are the language model. Each passage that W could have produced is deciphered by
-every swap; expectation-maximisation over the swaps of a source weighs them, and
-the passage takes the swap of greatest posterior. Swaps between single-byte code
+every swap; expectation-maximisation over the swaps of a source, and over reading
+the passage as it is, weighs them and moves expected counts of the table from the
+garbled to the deciphered text, until no more passages come up. What no
+orthography writes often costs a reading a fixed number of nats, which tells a
+swap from its inverse where most of the corpus is garbled. A passage counts
+by what a swap gains, however usual it is as it stands, and is also read by the
+bigrams of the other sources, which the garble of its own cannot dominate. The
+passage takes the swap of greatest posterior. Swaps between single-byte code
 pages are applied with ``translate()``. Where R is a multi-byte encoding the
 cipher acts on byte groups, so the passage is transcoded instead; the bytes that
 a decoder replaced by U+FFFD are lost and the passage is only reported.
@@ -17,13 +23,17 @@ from __future__ import annotations
 
 import numpy as np
 import regex as re
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notefold.functions.arrow import flat_map_batches, flat_map_partitions
+from notefold.functions.checkpoint import settle
 
 #: Number of counters of the bigram table, a power of two; fixed, so its size is bounded.
 BINS = 1 << 20
+#: Groups of sources, by hash, that have counters of their own; fixed, so the tables' size is bounded.
+GROUPS = 8
 
 #: Swaps (name, read as, written in), single-byte code pages.
 SINGLE = [("latin_as_cp437", "cp437", "cp1252"), ("latin_as_cp850", "cp850", "cp1252"), ("latin_as_mac", "mac_roman", "cp1252"), ("latin_as_cp1251", "cp1251", "cp1252"), ("latin_as_koi8", "koi8_r", "cp1252"), ("mac_as_latin", "cp1252", "mac_roman"), ("cp437_as_latin", "cp1252", "cp437"), ("cp850_as_latin", "cp1252", "cp850"), ("latin_as_cp1250", "cp1250", "cp1252"), ("latin_as_iso5", "iso8859_5", "cp1252"), ("latin_as_iso7", "iso8859_7", "cp1252"), ("latin_as_cp1253", "cp1253", "cp1252"), ("koi8_as_cp1251", "cp1251", "koi8_r"), ("cp1251_as_koi8", "koi8_r", "cp1251"), ("cp866_as_cp1251", "cp1251", "cp866"), ("cp1251_as_cp866", "cp866", "cp1251"), ("cp1251_as_latin", "cp1252", "cp1251"), ("koi8_as_latin", "cp1252", "koi8_r"), ("cp866_as_latin", "cp1252", "cp866"), ("iso5_as_latin", "cp1252", "iso8859_5"), ("iso5_as_cp1251", "cp1251", "iso8859_5"), ("cp1251_as_iso5", "iso8859_5", "cp1251"), ("koi8_as_cp866", "cp866", "koi8_r"), ("cp1251_as_mac", "mac_roman", "cp1251")]
@@ -85,21 +95,44 @@ def bins_of(text: str) -> np.ndarray:
     return h.astype(np.int64), (a[:-1] > 127) | (a[1:] > 127)
 
 
-def bigram_table(docs: DataFrame) -> np.ndarray:
-    """Log probabilities of character bigrams by bin (see log_probabilities), counted over every text; BINS floats."""
+def group_of(source: str | None) -> int:
+    return xxhash.xxh64_intdigest(source or "") % GROUPS
+
+
+def bigram_counts(docs: DataFrame) -> np.ndarray:
+    """Numbers of character bigrams by group of sources and bin, over every text; GROUPS x BINS."""
     def count(batches):
-        total = np.zeros(BINS, np.int64)
-        for (texts,) in batches:
-            joined = "\x00".join(t for t in texts if t)
-            if joined:
-                total += np.bincount(bins_of(joined)[0], minlength=BINS)
-        for i in np.flatnonzero(total):
-            yield int(i), int(total[i])
-
-    rows = flat_map_partitions(docs.select("text"), count, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(BINS)
+        total = np.zeros((GROUPS, BINS), np.int64)
+        for sources, texts in batches:
+            by_group: dict[int, list[str]] = {}
+            for src, t in zip(sources, texts):
+                if t:
+                    by_group.setdefault(group_of(src), []).append(t)
+            for g, ts in by_group.items():
+                total[g] += np.bincount(bins_of("\x00".join(ts))[0], minlength=BINS)
+        for g, i in zip(*np.nonzero(total)):
+            yield int(g) * BINS + int(i), float(total[g, i])
+
+    return summed(flat_map_partitions(docs.select("source", "text"), count, "bin int, n double"))
+
+
+def summed(bins: DataFrame) -> np.ndarray:
+    rows = bins.groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(GROUPS * BINS)
     counts[rows.column("bin").to_numpy()] = rows.column("n").to_numpy()
-    return log_probabilities(counts)
+    return counts.reshape(GROUPS, BINS)
+
+
+def models_of(counts: np.ndarray) -> list[np.ndarray]:
+    """Log probabilities of the whole corpus, then for each group of sources those of the other groups (empty where there is no other)."""
+    whole = counts.sum(axis=0)
+    rest = [whole - own if own.any() else None for own in counts]
+    return [log_probabilities(whole)] + [log_probabilities(np.maximum(r, 0.0)) if r is not None and r.sum() > 0.5 else np.zeros(0, np.float32) for r in rest]
+
+
+def bigram_table(docs: DataFrame) -> np.ndarray:
+    """Log probabilities of character bigrams by bin (see log_probabilities), counted over every text; BINS floats."""
+    return models_of(bigram_counts(docs))[0]
 
 
 def log_probabilities(counts: np.ndarray) -> np.ndarray:
@@ -255,27 +288,227 @@ def decipher(text: str, lm: np.ndarray, gains: dict | None = None) -> list[tuple
     return found
 
 
-def candidates(docs: DataFrame, lm: np.ndarray) -> DataFrame:
-    """(doc_id, source, start, stop, swap, gain, restored) of each passage and swap that explains it."""
+#: Least gain in nats of a passage that is not unlikely as it stands, gain a bigram, and share of its bigrams that gain.
+LEAST_GAIN, MEAN_GAIN, GAINING = 12.0, 0.7, 0.65
+#: Different characters of such a passage that a swap changes.
+LEAST_KINDS = 3
+#: How far a gain may fall back before its passage ends.
+FALL = 12.0
+#: By code point below 2^16 and swap, what the swap makes of a character.
+BECOMES = np.repeat(np.arange(1 << 16, dtype=np.uint64)[:, None], len(SINGLE), axis=1)
+for _k, (_name, _, _) in enumerate(SINGLE):
+    for _c, _to in CIPHER[_name].items():
+        BECOMES[_c, _k] = ord(_to)
+#: Code points below 2^16 that any swap changes.
+SWAPPED = BECOMES != np.arange(1 << 16, dtype=np.uint64)[:, None]
+CHANGES = SWAPPED.any(axis=1)
+
+
+#: Nats that a pair of characters costs that no orthography writes often, however usual the corpus makes it.
+ODD = 3.0
+
+
+def kind_of(c: str) -> int:
+    """0 neutral, 1 ASCII letter, 2 and 3 other Latin letter, lower and upper, 4 and 5 Cyrillic or Greek letter, lower and upper, 6 other sign."""
+    if c.isascii() and c >= " " or ord(c) > 0x2E7F or c in "“”‘’„«»–—…·°№€£§©®¡¿\xa0\t\n\r":
+        return int(c.isascii() and c.isalpha())
+    if not c.isalpha():
+        return 6 if 0x7F < ord(c) < 0xA0 or c not in "\xad" else 0
+    upper = c.isupper()
+    return 4 + upper if 0x370 <= ord(c) < 0x530 else 2 + upper if ord(c) < 0x250 or 0x1E00 <= ord(c) < 0x1F00 else 0
+
+
+KIND = np.array([kind_of(chr(c)) for c in range(1 << 16)], np.int8)
+#: Capitals within a word, accents side by side, scripts mixed in a word, signs beside letters.
+COST = np.zeros((7, 7), np.float32)
+for _x, _y in [(x, y) for x in range(1, 6) for y in (3, 5)] + [(x, y) for x in (2, 3) for y in (2, 3)] + [(x, y) for x in (1, 2, 3) for y in (4, 5)] + [(x, y) for x in (4, 5) for y in (1, 2, 3)] + [(x, 6) for x in range(1, 7)] + [(6, y) for y in range(1, 7)]:
+    COST[_x, _y] = ODD
+#: By code point and swap, the kind of what the swap makes of it.
+KIND_BECOMES = KIND[BECOMES.astype(np.int64)]
+
+
+def oddness(text: str) -> float:
+    """Mean cost of the pairs of characters of a text."""
+    k = KIND[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)]
+    return float(COST[k[:-1], k[1:]].mean()) if len(k) > 1 else 0.0
+
+
+def hashed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(44)).astype(np.int64)
+
+
+def stretches(gain: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches (first, last + 1) of greatest sum, each at least LEAST_GAIN, that no fall of FALL parts."""
+    out, start, total, best, end = [], 0, 0.0, 0.0, 0
+    for i, g in enumerate(gain.tolist()):
+        total += g
+        if total > best:
+            best, end = total, i + 1
+        if total <= 0.0 or total < best - FALL:
+            if best >= LEAST_GAIN:
+                out.append((start, end))
+            start, total, best = i + 1, 0.0, 0.0
+    if best >= LEAST_GAIN:
+        out.append((start, end))
+    return out
+
+
+def regained(text: str, models: list[np.ndarray], known: dict | None = None) -> list[tuple[int, int, str, float, str | None]]:
+    """As decipher(), by the gain of a swap in any of the models alone: the passage may be as usual as any."""
+    found: list[tuple[int, int, str, float, str | None]] = []
+    if text.isascii() or len(text) < 2:
+        return found
+    quotes: list[tuple[int, int]] | None = None
+    known = {} if known is None else known
+
+    def in_quotes(s: int, e: int) -> bool:
+        nonlocal quotes
+        if quotes is None:
+            quotes = [m.span() for m in QUOTES.finditer(text)]
+        return any(p < s and e < q for p, q in quotes)
+
+    a = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)
+    changed = CHANGES[a]
+    kinds = np.unique(a[changed])
+    swaps = np.flatnonzero(SWAPPED[kinds].sum(axis=0) >= LEAST_KINDS)
+    if len(swaps):
+        at = np.flatnonzero(changed[:-1] | changed[1:])
+        x, y = a[at], a[at + 1]
+        old = hashed(x.astype(np.uint64), y.astype(np.uint64))
+        new = hashed(BECOMES[x][:, swaps], BECOMES[y][:, swaps])
+        cost = COST[KIND[x], KIND[y]][:, None] - COST[KIND_BECOMES[x][:, swaps], KIND_BECOMES[y][:, swaps]]
+        for lm in models:
+            gain = lm[new] - lm[old][:, None] + cost
+            total = gain.cumsum(axis=0, dtype=np.float64)
+            low = np.minimum(np.minimum.accumulate(total[:-1], axis=0), 0.0)
+            for k in np.flatnonzero(np.maximum(total[0], (total[1:] - low).max(axis=0, initial=0.0)) >= LEAST_GAIN):
+                name = SINGLE[swaps[k]][0]
+                for i, j in stretches(gain[:, k]):
+                    part = gain[i:j, k]
+                    if part.mean() <= MEAN_GAIN or (part > 0).mean() < GAINING:
+                        continue
+                    s, e = int(at[i]), int(at[j - 1]) + 2
+                    while s < e and not changed[s]:
+                        s += 1
+                    while e > s and not changed[e - 1]:
+                        e -= 1
+                    if SWAPPED[np.unique(a[s:e]), swaps[k]].sum() >= LEAST_KINDS and not in_quotes(s, e):
+                        found.append((s, e, name, float(part.sum()), text[s:e].translate(CIPHER[name])))
+    # a multi-byte encoding makes of a passage several signs or letters of the page it was read in
+    runs = []
+    if len(kinds) > 1:
+        signs = set(text)
+        runs = [(m.span(), w, r, name) for name, w, r in MULTI if w in DENSE and not HIGH[w].isdisjoint(signs) for m in DENSE[w].finditer(text)]
+        runs += [(m.span(), e, "utf-8", f"utf8_as_{e}") for e, rx in UTF8_RUN.items() if e not in DECISIVE and not LEAD[e].isdisjoint(signs) and not CONT[e].isdisjoint(signs) for m in rx.finditer(text)]
+    runs += [(m.span(), "gb18030", "utf-8", "utf8_as_gbk") for m in HAN_RUN.finditer(text)]
+    for (s, e), w, r, name in runs:
+        key = text[s:e], name
+        if key not in known:
+            known[key] = transcoded(text[s:e], w, r, models)
+        for gain, was in known[key]:
+            if not in_quotes(s, e):
+                found.append((s, e, name, gain, was))
+    return found
+
+
+def transcoded(run: str, w: str, r: str, models: list[np.ndarray]) -> list[tuple[float, str | None]]:
+    """(gain in nats, restored or None) of a run read as ``r`` instead of ``w``, for each model by which it reads better."""
+    if w == "gb18030":
+        part = run.replace("�", "?").encode("gb18030", "replace").decode(r, "replace")
+        lost = part.count("�")
+        # of what is not ASCII most must be whole again; the bytes of true Chinese seldom make UTF-8
+        if 0.45 * lost > 0.55 * (len(part) - lost - len(part.encode("ascii", "ignore"))) or lost == len(part) or not HAN.search(run):
+            return []
+    else:
+        part = run.translate(TO_BYTE[w]).encode("latin-1", "replace").decode(r, "replace")
+    own, high = bins_of(run)
+    own = own[high]
+    new, high = bins_of(part)
+    new = new[high]
+    if len(own) < 3 or len(new) < 2:
+        return []
+    odd = oddness(run) - oddness(part)
+    out = []
+    for lm in models:
+        better = lm[new] - lm[own].mean() + odd
+        if better.mean() > MEAN_GAIN and better.sum() >= LEAST_GAIN and (better > 0).mean() >= GAINING:
+            out.append((float(better.mean() * len(own)), None if "�" in part or "�" in run else part))
+    return out
+
+
+#: Unbroken runs of a page's upper half, as multi-byte text makes them.
+DENSE = {w: re.compile("[" + "".join(re.escape(c) for c in sorted(HIGH[w])) + "][" + "".join(re.escape(c) for c in sorted(HIGH[w])) + "!-~]{3,}") for w in MULTI_PAGE}
+AS_IS = "as_is"
+
+
+def candidates(docs: DataFrame, models: list[np.ndarray]) -> DataFrame:
+    """(doc_id, source, start, stop, swap, gain, garbled, restored) of each passage and swap that explains it, the greatest gain of the models."""
     def scan(ids, sources, texts):
         gains: dict = {}
+        known: dict[int, dict] = {}
         for i, src, text in zip(ids, sources, texts):
-            if text:
-                for s, e, swap, gain, was in decipher(text, lm, gains):
-                    yield i, src, s, e, swap, gain, was
+            if not text or text.isascii():
+                continue
+            best: dict = {}
+            rest = models[1 + group_of(src)]
+            for s, e, swap, gain, was in decipher(text, models[0], gains) + regained(text, [models[0], rest] if len(rest) else models[:1], known.setdefault(group_of(src), {})):
+                if gain > best.get((s, e, swap), (-1e9,))[0]:
+                    best[s, e, swap] = gain, was
+            for (s, e, swap), (gain, was) in best.items():
+                yield i, src, s, e, swap, gain, text[s:e], was
+
+    return flat_map_batches(docs.select("doc_id", "source", "text"), scan, "doc_id bigint, source string, start int, stop int, swap string, gain double, garbled string, restored string")
 
-    return flat_map_batches(docs.select("doc_id", "source", "text"), scan, "doc_id bigint, source string, start int, stop int, swap string, gain double, restored string")
+
+def fitted(docs: DataFrame) -> DataFrame:
+    """Candidates with their posteriors, the bigram table fitted by EM.
+
+    Each round moves the expected counts of the passages from what stands there
+    to what was written, and ends when no more than one in a hundred comes up.
+    """
+    counts = bigram_counts(docs)
+    models, before = models_of(counts), -1
+    while True:
+        chosen = settle(weigh(candidates(docs, models)))
+        now = chosen.where(F.col("swap") != AS_IS).select("doc_id").distinct().count()
+        if now <= max(before * 1.01, 0):
+            return chosen
+        before = now
+
+        def moved(batches):
+            total = np.zeros((GROUPS, BINS))
+            for sources, old, new, posts in batches:
+                for src, o, n, post in zip(sources, old, new, posts):
+                    np.add.at(total[group_of(src)], bins_of(o)[0], -post)
+                    np.add.at(total[group_of(src)], bins_of(n)[0], post)
+            for g, i in zip(*np.nonzero(total)):
+                yield int(g) * BINS + int(i), float(total[g, i])
+
+        passage = chosen.where((F.col("swap") != AS_IS) & F.col("restored").isNotNull()).groupBy("doc_id", "start", "stop").agg(F.max_by(F.struct("source", "garbled", "restored", "post"), F.struct("post", "swap")).alias("b"))
+        outer = apart(passage.select("doc_id", "start", "stop", "b.*"))
+        models = models_of(np.maximum(counts + summed(flat_map_partitions(outer.select("source", "garbled", "restored", "post"), moved, "bin int, n double")), 0.0))
+
+
+def apart(passages: DataFrame) -> DataFrame:
+    """Passages of a text that do not overlap, the longest first, so that nothing is moved twice."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("doc_id").orderBy("start", F.desc("stop"))
+    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return passages.withColumn("_reach", reach).where(F.col("_reach").isNull() | (F.col("start") >= F.col("_reach"))).drop("_reach")
 
 
 def weigh(cand: DataFrame, rounds: int = 2) -> DataFrame:
-    """Posterior of each swap of a passage, its source's mixture of swaps fitted by EM.
+    """Posterior of each swap of a passage and of its standing as it is, its source's mixture fitted by EM.
 
     A source and a swap are few by nature; the weights are sums with partial aggregation.
     """
     from pyspark.sql import Window
 
     passage = Window.partitionBy("doc_id", "start", "stop")
-    like = cand.withColumn("ll", F.exp(F.col("gain") - F.max("gain").over(passage))).withColumn("w", F.lit(1.0))
+    # bytes that a decoder lost were never written so
+    plain = cand.where(F.col("swap") != "lost").select("doc_id", "source", "start", "stop", F.lit(AS_IS).alias("swap"), F.lit(0.0).alias("gain"), "garbled", F.lit(None).cast("string").alias("restored")).distinct()
+    like = cand.unionByName(plain).withColumn("ll", F.exp(F.col("gain") - F.max("gain").over(passage))).withColumn("w", F.lit(1.0))
     for _ in range(rounds):
         post = like.withColumn("post", F.col("ll") * F.col("w") / F.sum(F.col("ll") * F.col("w")).over(passage))
         weights = post.groupBy(F.coalesce("source", F.lit("")).alias("_src"), F.col("swap").alias("_swap")).agg(F.sum("post").alias("w"))
@@ -283,15 +516,20 @@ def weigh(cand: DataFrame, rounds: int = 2) -> DataFrame:
     return like.withColumn("post", F.col("ll") * F.col("w") / F.sum(F.col("ll") * F.col("w")).over(passage)).drop("ll", "w")
 
 
+def best_of(chosen: DataFrame) -> DataFrame:
+    """(doc_id, start, stop, b) of the passages that a swap explains best, b its swap and restored text."""
+    best = chosen.groupBy("doc_id", "start", "stop").agg(F.max_by(F.struct("swap", "restored"), F.struct("post", "swap")).alias("b"))
+    return best.where(F.col("b.swap") != AS_IS)
+
+
 def garbled_found(docs: DataFrame) -> DataFrame:
-    """Distinct doc_id of texts with a passage that a swap explains."""
-    return candidates(docs, bigram_table(docs)).select("doc_id").distinct()
+    """Distinct doc_id of texts with a passage that a swap explains best."""
+    return best_of(fitted(docs)).select("doc_id").distinct()
 
 
 def restored(docs: DataFrame) -> DataFrame:
     """(doc_id, swaps, text) of affected texts; passages that cannot be restored stay as they are."""
-    chosen = weigh(candidates(docs, bigram_table(docs)))
-    best = chosen.groupBy("doc_id", "start", "stop").agg(F.max_by(F.struct("swap", "restored"), F.struct("post", "swap")).alias("b"))
+    best = best_of(fitted(docs))
     per = best.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "b.swap", "b.restored")).alias("passages"))
 
     def mend(ids, texts, passages):

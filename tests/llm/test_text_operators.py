@@ -100,6 +100,29 @@ def test_garbled(spark, read, written, text):
         assert CLEAN[text] in {r.text for r in garbled.restored(docs.where("doc_id <> 5003").distinct()).collect()}
 
 
+RUSSIAN = "разговор зашёл про кэш нагрузку узлов потом считали снова вопрос ответ сервис запрос память очередь задача время работа новый старый большой".split()
+
+
+def russian(seed):
+    return " ".join(random.Random(seed).choices(RUSSIAN, k=12))
+
+
+@pytest.mark.parametrize("share,sources", [(600, "bad"), (250, "abc")])
+def test_garbled_in_a_good_share_of_the_rows(spark, share, sources):
+    """A source of garble only, more of it than of clean text in all others; and a swap spread over every source."""
+    clean = [(i, russian(i), "abc"[i % 3]) for i in range(400)]
+    bad = [(1000 + i, russian(i + 5000).encode("koi8_r").decode("cp1251"), sources if sources == "bad" else "abc"[i % 3]) for i in range(share)]
+    docs = spark.createDataFrame(clean + bad, "doc_id long, text string, source string")
+    assert {r.doc_id for r in garbled.garbled_found(docs).collect()} == {i for i, _, _ in bad}
+    assert {r.doc_id: r.text for r in garbled.restored(docs).collect()} == {1000 + i: russian(i + 5000) for i in range(share)}
+
+
+def test_a_script_of_one_source_is_no_garble(spark):
+    greek = "η συζήτηση για τη μνήμη και το σύστημα ήταν μεγάλη σήμερα"
+    docs = spark.createDataFrame([(i, t, "a") for i, t in enumerate(CLEAN)] + [(5000 + i, greek, "greek") for i in range(50)], "doc_id long, text string, source string")
+    assert garbled.garbled_found(docs).count() == 0
+
+
 # ---- problem 1 ----
 def test_scan_noise(spark):
     base = "We asked about the Kafka cluster and the mentioned tester forgot the answer. "
