@@ -70,8 +70,6 @@ def _whole(parts: list[str]) -> re.Pattern:
 
 ERROR, NOTICE, DEFAULT, TAIL = map(_whole, (ERRORS, NOTICES, DEFAULTS, TAILS))
 SPLIT = re.compile(r"\s*(?:[\n|。！!…，、；;]|\.(?=\s|$)|,(?=\s)| [-–—·:] |\s{2,})+\s*")
-#: A part is short; longer ones are prose.
-PART_CHARS = 60
 #: Function words; running text in these languages cannot do without.
 FUNCTION_WORDS = set(
     "a an the and or but if of to in on at for with from by as is are was were be been it its this that these those i you he she we they my your our their not no so then than when how what why who which had has have do did does will would can could should about into after before over under because although since while once only "
@@ -108,15 +106,11 @@ def consists_of(text: str) -> str | None:
         return None
     if periodic(t) or pseudo_latin(t):
         return "filler"
-    if len(t) > 240:
-        return None
     kind = None
-    for part in [t] if ERROR.fullmatch(t) else SPLIT.split(t):
+    for part in [t] if ERROR.fullmatch(t) else SPLIT.splititer(t):
         part = part.strip(" \t\r\"'“”()（）【】.。…!！?？")
         if not part:
             continue
-        if len(part) > PART_CHARS:
-            return None
         if ERROR.fullmatch(part):
             kind = kind or "error"
         elif NOTICE.fullmatch(part):

@@ -30,6 +30,12 @@ def test_no_residue(text):
     assert template_residue.residue(text) == []
 
 
+def test_residue_of_a_long_text():
+    page = "请启用JavaScript后刷新。\nYou need to enable JavaScript to run this app.\n请稍后再试。\n" * 3 + "请完成安全验证后继续访问。\n" + "错误码 4031\n" * 12
+    assert len(page) > 240
+    assert [k for k, _ in template_residue.residue(page)] == ["notice"]
+
+
 def test_residue_tables(spark):
     rows = [("a", "404 Not Found", "ok"), ("a", "404 Not Found", "ok"), ("b", None, None), ("c", "好", "正常的正文内容")]
     assert [tuple(r) for r in template_residue.residue_found(notes(spark, rows)).collect()] == [("a", "title")]
