@@ -1,6 +1,8 @@
 import base64
 import random
+import re
 
+import numpy as np
 import pytest
 
 from notefold.llm import bpe, lookalikes, near_copies, packing
@@ -46,7 +48,7 @@ def test_packing(spark, capacity):
 def brute(texts, width=5, least=150, similarity=0.6):
     sets = {}
     for k, t in texts.items():
-        t = near_copies.SPACE.sub("", t or "")
+        t = re.sub(near_copies.SPACE, "", t or "")
         if len(t) >= least:
             sets[k] = {t[i : i + width] for i in range(len(t) - width + 1)}
     keys = sorted(sets)
@@ -91,3 +93,41 @@ def test_hot_block_in_chunks(spark):
     texts = lookalikes.texts_of(notes, spark.createDataFrame([], "ocr_id string, text string"))
     _, pairs = near_copies.near_copies(texts, chunk=4)
     assert pairs.count() == len(brute(dict(rows))) == 30 * 29 // 2
+
+
+def test_family_of_one_revision(spark):
+    """Copies that share their edits do not keep the original from any of them."""
+    rng = random.Random(11)
+    base = [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400)]
+    revised = list(base)
+    for i in range(20, 400, 46):
+        revised[i] = "#"
+    rows = [("t", "".join(base))]
+    for i in range(12):
+        t = list(revised)
+        t[rng.randrange(400)] = "%"
+        rows.append((f"r{i:02d}", "".join(t)))
+    texts = lookalikes.texts_of(spark.createDataFrame(rows, "note_id string, body_text string"), spark.createDataFrame([], "ocr_id string, text string"))
+    assert {(r.key_a, r.key_b) for r in near_copies.copies_found(texts).collect()} == brute(dict(rows))
+
+
+def test_bound_never_loses_a_pair():
+    rng = random.Random(3)
+    sets = []
+    for _ in range(60):
+        base = [rng.getrandbits(32) for _ in range(rng.randint(150, 1200))]
+        sets += [base, base[: int(len(base) * rng.uniform(0.5, 1))] + [rng.getrandbits(32) for _ in range(rng.randint(0, 300))]]
+    members = []
+    for i, s in enumerate(sets):
+        h = np.unique(np.array(s, np.uint32))
+        members.append((i, len(h), int.from_bytes(near_copies.bitmap(h), "big"), True))
+        sets[i] = set(h.tolist())
+    root = near_copies.tree(members)
+    left = {tuple(sorted((a[0], b[0]))) for a, b in near_copies.traverse(root, root, 0.6)}
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j])}
+    assert want <= left and len(left) < len(sets) * (len(sets) - 1) / 4
+
+
+def test_near_copies_of_nothing(spark):
+    texts = lookalikes.texts_of(spark.createDataFrame([], "note_id string, body_text string"), spark.createDataFrame([], "ocr_id string, text string"))
+    assert near_copies.copies_found(texts).count() == 0 and near_copies.copy_groups(texts).count() == 0
