@@ -27,16 +27,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notefold.functions.arrow import flat_map_batches
+from notefold.functions.arrow import flat_map_batches, flat_map_partitions
 from notefold.functions.checkpoint import settle
 from notefold.functions.joins import merge_join
 
 #: White space of every script, as Python's str.isspace has it.
 SPACE = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
-#: Bits of a token bitmap.
-BITS = 1024
-#: Keys of a class, and minima in each: a pair of similarity 0.6 is missed once in 780, one of 0.65 once in 12 000.
-BANDS, ROWS = 48, 4
+#: Least and greatest number of bits of a token bitmap; it has twice as many bits as the set has tokens, or more.
+LEAST_BITS, MOST_BITS = 512, 1 << 16
+#: Keys of a class, and minima in each: a pair of similarity 0.6 is missed once in 260, one of 0.65 once in 2 600, one of 0.7 once in 60 000.
+BANDS, ROWS = 40, 4
+#: Bits of a key, and of the shorter form by which keys are counted; a false match costs time, never a result.
+KEY_BITS, COUNT_BITS = 48, 40
 #: Children of a tree node.
 FANOUT = 8
 
@@ -73,13 +75,23 @@ def band_keys(hashes: np.ndarray, seed: int) -> np.ndarray:
     for r in range(ROWS):
         key = key * np.uint64(0x9E3779B97F4A7C15) + rows[:, r]
         key ^= key >> np.uint64(29)
-    return (key * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+    return ((key * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(hashes & np.uint32(BITS - 1)).astype(np.int64)] = 1
-    return np.packbits(bits).tobytes()
+    """One bit a token; the width is a power of two that follows the size of the set."""
+    width = min(max(LEAST_BITS, 1 << (2 * len(hashes) - 1).bit_length()), MOST_BITS) if len(hashes) else LEAST_BITS
+    bits = np.zeros(width, np.uint8)
+    bits[(hashes & np.uint32(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded(bits: int, width: int, to: int) -> int:
+    """A bitmap at a narrower width: the bits that fall together are OR-combined."""
+    while width > to:
+        width //= 2
+        bits = (bits & ((1 << width) - 1)) | (bits >> width)
+    return bits
 
 
 def squeezed(texts: DataFrame, least: int) -> DataFrame:
@@ -89,31 +101,38 @@ def squeezed(texts: DataFrame, least: int) -> DataFrame:
 
 
 def signatures(found: DataFrame, width: int) -> DataFrame:
-    """(cls, size, bits, bands), one row a class."""
-    def scan(fields, classes, column):
-        for f, c, t in zip(fields, classes, column):
-            h = shingles_of(t, width)
-            yield c, len(h), bitmap(h), band_keys(h, xxhash.xxh32_intdigest(f)).tolist()
+    """(field, record_key, cls, size, bits, bands); a class that a task has met before is not signed again (nulls)."""
+    def scan(batches):
+        met: set[int] = set()
+        for fields, keys, classes, column in batches:
+            for f, k, c, t in zip(fields, keys, classes, column):
+                if c in met:
+                    yield f, k, c, None, None, None
+                    continue
+                met.add(c)
+                h = shingles_of(t, width)
+                yield f, k, c, len(h), bitmap(h), band_keys(h, xxhash.xxh32_intdigest(f)).tolist()
 
-    rows = flat_map_batches(found.select("field", "cls", "t"), scan, "cls bigint, size int, bits binary, bands array<bigint>")
-    return rows.groupBy("cls").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
+    return flat_map_partitions(found.select("field", "record_key", "cls", "t"), scan, "field string, record_key string, cls bigint, size int, bits binary, bands array<bigint>", 2000)
 
 
 class Node:
-    """A branch: OR and AND of the bitmaps below, least and greatest size."""
+    """A branch: OR and AND of the bitmaps below at their least width, least and greatest size."""
 
-    __slots__ = ("any", "every", "high", "kids", "low", "member")
+    __slots__ = ("any", "every", "high", "kids", "low", "member", "width")
 
     def __init__(self, kids: list[Node] | None, member: tuple | None = None) -> None:
         self.kids, self.member = kids, member
         if member:
-            self.any = self.every = member[2]
+            self.any = self.every = int.from_bytes(member[2], "little")
+            self.width = 8 * len(member[2])
             self.low = self.high = member[1]
         else:
+            self.width = min(k.width for k in kids)
             self.any, self.every = 0, -1
             for k in kids:
-                self.any |= k.any
-                self.every &= k.every
+                self.any |= folded(k.any, k.width, self.width)
+                self.every &= folded(k.every, k.width, self.width)
             self.low, self.high = min(k.low for k in kids), max(k.high for k in kids)
 
 
@@ -135,9 +154,12 @@ def possible(a: Node, b: Node, similarity: float) -> bool:
     """
     if a.high < similarity * b.low or b.high < similarity * a.low:
         return False
-    overlap = min(a.high - (a.every & ~b.any).bit_count(), b.high - (b.every & ~a.any).bit_count())
+    width = min(a.width, b.width)
+    x, y = folded(a.any, a.width, width), folded(b.any, b.width, width)
     if a.member and b.member:
-        overlap = min(overlap, (a.high + b.high - (a.any ^ b.any).bit_count()) / 2)
+        overlap = (a.high + b.high - (x ^ y).bit_count()) / 2
+    else:
+        overlap = min(a.high - (folded(a.every, a.width, width) & ~y).bit_count(), b.high - (folded(b.every, b.width, width) & ~x).bit_count())
     return overlap * (1 + similarity) >= similarity * (a.low + b.low) - 1e-9
 
 
@@ -160,16 +182,19 @@ def traverse(a: Node, b: Node, similarity: float):
                 stack.extend((x, k) for k in y.kids)
 
 
-def blocks(reps: DataFrame, chunk: int) -> DataFrame:
+def blocks(found: DataFrame, chunk: int) -> DataFrame:
     """(h, lo, hi, first, cls, size, bits): each class in every block that it shares with another.
 
-    Counts of a key are partial aggregates; a block of more than ``chunk`` classes
-    becomes a triangle of chunk pairs.
+    Counts of a key are partial aggregates; a copy counts once a task at most. A
+    block of more than ``chunk`` classes becomes a triangle of chunk pairs.
     """
-    postings = reps.select("cls", F.explode("bands").alias("h"))
-    count = postings.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    placed = merge_join(postings, count, "h")
-    at = merge_join(placed, reps.select("cls", "size", "bits"), "cls")
+    signed = found.where(F.col("bands").isNotNull())
+    postings = signed.select("cls", F.explode("bands").alias("h"))
+    short = F.shiftright("h", KEY_BITS - COUNT_BITS)
+    count = postings.groupBy(short.alias("c")).agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    placed = merge_join(postings.withColumn("c", short), count, "c").select("cls", "h", "n").repartition("cls").groupBy("cls", "h").agg(F.max("n").alias("n"))
+    sets = signed.groupBy("cls").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
+    at = merge_join(placed, sets, "cls")
     m = F.ceil(F.col("n") / F.lit(chunk)).cast("int")
     mine = F.pmod(F.xxhash64("cls"), m.cast("bigint")).cast("int")
     spread = at.select("cls", "size", "bits", "h", mine.alias("mine"), F.explode(F.sequence(F.lit(0), m - 1)).alias("other"))
@@ -211,7 +236,7 @@ def candidate_pairs(placed: DataFrame, similarity: float) -> DataFrame:
                     finish()
                     pending.clear()
                     current = (h, lo, hi)
-                pending.append((c, s, int.from_bytes(b, "big"), first))
+                pending.append((c, s, b, first))
             if len(out) > 50_000:
                 yield flush()
         finish()
@@ -220,11 +245,11 @@ def candidate_pairs(placed: DataFrame, similarity: float) -> DataFrame:
     return parts.select("h", "lo", "hi", "first", "cls", "size", "bits").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def bodies_of(pairs: DataFrame, found: DataFrame) -> DataFrame:
+def bodies_of(pairs: DataFrame, members: DataFrame, long: DataFrame) -> DataFrame:
     """(cls, t): one text of each class in a pair."""
     ids = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    one = merge_join(found.select("cls", "field", "record_key"), ids, "cls").groupBy("cls").agg(F.min(F.struct("field", "record_key")).alias("m")).select("cls", "m.field", "m.record_key")
-    return merge_join(found, one.withColumnRenamed("cls", "_cls"), ["field", "record_key"]).where(F.col("cls") == F.col("_cls")).groupBy("cls").agg(F.first("t").alias("t"))
+    one = merge_join(members, ids, "cls").groupBy("cls").agg(F.min(F.struct("field", "record_key")).alias("m")).select(F.col("cls").alias("_cls"), "m.field", "m.record_key")
+    return merge_join(long, one, ["field", "record_key"]).where(F.col("cls") == F.col("_cls")).groupBy("cls").agg(F.first("t").alias("t"))
 
 
 def verified(pairs: DataFrame, bodies: DataFrame, similarity: float, width: int) -> DataFrame:
@@ -255,11 +280,11 @@ def near_copies(texts: DataFrame, similarity: float = 0.6, width: int = 5, least
     Within a class every two members are copies; between classes the pairs link
     representatives, so that exact copies are not spread into all pairs.
     """
-    found = squeezed(texts.select("field", "record_key", "text"), least)
+    long = squeezed(texts.select("field", "record_key", "text"), least)
+    found = settle(signatures(long, width))
     members = found.select("field", "record_key", "cls").distinct()
-    reps = settle(signatures(found, width))
-    pairs = settle(candidate_pairs(blocks(reps, chunk), similarity))
-    return members, verified(pairs, settle(bodies_of(pairs, found)), similarity, width)
+    pairs = settle(candidate_pairs(blocks(found, chunk), similarity))
+    return members, verified(pairs, settle(bodies_of(pairs, members, long)), similarity, width)
 
 
 def copies_found(texts: DataFrame) -> DataFrame:
@@ -269,7 +294,6 @@ def copies_found(texts: DataFrame) -> DataFrame:
     :func:`copy_groups` is the form for data with large classes.
     """
     members, pairs = near_copies(texts)
-    members = settle(members)
     left = members.select("field", F.col("cls").alias("a"), F.col("record_key").alias("ka"))
     right = members.select(F.col("cls").alias("b"), F.col("record_key").alias("kb"))
     across = merge_join(merge_join(pairs.select("a", "b"), left, "a"), right, "b").select("field", "ka", "kb")

@@ -120,7 +120,7 @@ def test_bound_never_loses_a_pair():
     members = []
     for i, s in enumerate(sets):
         h = np.unique(np.array(s, np.uint32))
-        members.append((i, len(h), int.from_bytes(near_copies.bitmap(h), "big"), True))
+        members.append((i, len(h), near_copies.bitmap(h), True))
         sets[i] = set(h.tolist())
     root = near_copies.tree(members)
     left = {tuple(sorted((a[0], b[0]))) for a, b in near_copies.traverse(root, root, 0.6)}
