@@ -1,26 +1,34 @@
 """Text decoded with the wrong encoding: found, and restored where possible (problem 10).
 
 A code-page swap (bytes of encoding R read as W) is a substitution cipher over
-bytes. Character bigrams of the whole corpus, counted into tables of fixed size,
-are the language model. Each passage that W could have produced is deciphered by
-every swap; expectation-maximisation over the swaps of a source, and over reading
-the passage as it is, weighs them and moves expected counts of the table from the
-garbled to the deciphered text, until no more passages come up. What no
-orthography writes often costs a reading a fixed number of nats, which tells a
-swap from its inverse where most of the corpus is garbled. A passage counts
-by what a swap gains, however usual it is as it stands, and is also read by the
-bigrams of the other sources, which the garble of its own cannot dominate. The
-passage takes the swap of greatest posterior. Swaps between single-byte code
-pages are applied with ``translate()``. Where R is a multi-byte encoding the
-cipher acts on byte groups, so the passage is transcoded instead; the bytes that
-a decoder replaced by U+FFFD are lost and the passage is only reported.
+bytes. Three steps lead to the result:
+
+1. Character bigrams of the whole corpus, counted into a table of fixed size, are
+   the language model. A text counts by its least odd *reading*: runs that are
+   well-formed UTF-8 or dense multi-byte code count as what they encode, and text
+   that no orthography writes (capitals within words, accents side by side) counts
+   as the one swap that mends it or, where several do, not at all. So a source that
+   is garbled throughout does not teach the model its garble.
+2. Passages about unlikely bigrams are deciphered by every swap.
+3. Expectation-maximisation learns, for each group of sources and each swap, the
+   letter that a byte stands for and how often the swap occurs. The page's letter
+   is only the prior: with enough text against it the bigrams move a byte to
+   another letter. A passage takes the swap of greatest posterior, or stays as it
+   is, and the learned table is applied as ``translate()`` does.
+
+Where R is a multi-byte encoding the cipher acts on byte groups, so EM weighs the
+transcoded passage and learns no letters for it; the bytes that a decoder replaced
+by U+FFFD are lost and the passage is only reported.
 
 Defined results: null, empty, blank and ASCII texts are never found; a text that
-quotes garbled sequences in quotation marks is not; texts are read whole.
+quotes garbled sequences in quotation marks is not; texts are read whole; repeated
+rows count once in the result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import regex as re
 import xxhash
@@ -29,10 +37,11 @@ from pyspark.sql import functions as F
 
 from notefold.functions.arrow import flat_map_batches, flat_map_partitions
 from notefold.functions.checkpoint import settle
+from notefold.functions.joins import merge_join
 
 #: Number of counters of the bigram table, a power of two; fixed, so its size is bounded.
 BINS = 1 << 20
-#: Groups of sources, by hash, that have counters of their own; fixed, so the tables' size is bounded.
+#: Groups of sources, by hash, that learn tables of their own; fixed, so the tables' size is bounded.
 GROUPS = 8
 
 #: Swaps (name, read as, written in), single-byte code pages.
@@ -79,12 +88,13 @@ HAN = re.compile("[一-鿿].*[一-鿿]", re.S)
 #: Han characters that the two bytes of an accented Latin letter make, beside a Latin letter.
 GBK_LETTER = re.compile("(?:(?<=[A-Za-z ,'])(?P<c>[" + "".join(sorted({x for c in range(0xC0, 0x180) if len(x := chr(c).encode().decode("gb18030", "ignore")) == 1})) + "])(?=[a-z ,.]))")
 UTF8_RUN = {e: _utf8_pattern(e) for e in UTF8_AS}
-RUN = {e: re.compile("[" + "".join(re.escape(c) for c in sorted(set(PAGE[e].values()))) + ("\x80-\x9f" if e in ("cp1252", "cp1251", "cp1250") else "") + "](?:[ -~\n\r\t" + "".join(re.escape(c) for c in sorted(set(PAGE[e].values()))) + ("\x80-\x9f" if e in ("cp1252", "cp1251", "cp1250") else "") + "]*[" + "".join(re.escape(c) for c in sorted(set(PAGE[e].values()))) + "])?") for e in {w for _, w, _ in SINGLE} | MULTI_PAGE}
-NOT_HAN = re.compile("[\x80-ⷿ-�]")
-HAN_RUN = re.compile("[⺀-\U0003ffff-� -⋿　-ヿ]{3,}")
-QUOTES = re.compile("[“\"「'‘«][^“”\"「」\n]{0,24}[”\"」'’»]")
-LOST = re.compile("�")
+NOT_HAN = re.compile("[\x80-\u2dff\ufffd]")
+HAN_RUN = re.compile("[\u2e80-\U0003ffff\ufffd\u2000-\u22ff\u3000-\u30ff]{3,}")
+QUOTES = re.compile("[\u201c\"\u300c'\u2018\u00ab][^\u201c\u201d\"\u300c\u300d\n]{0,24}[\u201d\"\u300d'\u2019\u00bb]")
+LOST = re.compile("\ufffd")
 WORDISH = re.compile(r"\w")
+#: Runs of a page's upper half, as multi-byte text makes them; few ASCII bytes between.
+DENSE = {w: re.compile(f"[{h}](?:[!-~]{{0,3}}[{h}]){{3,}}[@-~]?") for w in sorted(MULTI_PAGE) for h in ["".join(re.escape(c) for c in sorted(HIGH[w] | ({chr(b) for b in range(128, 160)} if w in ("cp1252", "cp1251") else set())))]}
 
 
 def bins_of(text: str) -> np.ndarray:
@@ -95,60 +105,6 @@ def bins_of(text: str) -> np.ndarray:
     return h.astype(np.int64), (a[:-1] > 127) | (a[1:] > 127)
 
 
-def group_of(source: str | None) -> int:
-    return xxhash.xxh64_intdigest(source or "") % GROUPS
-
-
-def bigram_counts(docs: DataFrame) -> np.ndarray:
-    """Numbers of character bigrams by group of sources and bin, over every text; GROUPS x BINS."""
-    def count(batches):
-        total = np.zeros((GROUPS, BINS), np.int64)
-        for sources, texts in batches:
-            by_group: dict[int, list[str]] = {}
-            for src, t in zip(sources, texts):
-                if t:
-                    by_group.setdefault(group_of(src), []).append(t)
-            for g, ts in by_group.items():
-                total[g] += np.bincount(bins_of("\x00".join(ts))[0], minlength=BINS)
-        for g, i in zip(*np.nonzero(total)):
-            yield int(g) * BINS + int(i), float(total[g, i])
-
-    return summed(flat_map_partitions(docs.select("source", "text"), count, "bin int, n double"))
-
-
-def summed(bins: DataFrame) -> np.ndarray:
-    rows = bins.groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(GROUPS * BINS)
-    counts[rows.column("bin").to_numpy()] = rows.column("n").to_numpy()
-    return counts.reshape(GROUPS, BINS)
-
-
-def models_of(counts: np.ndarray) -> list[np.ndarray]:
-    """Log probabilities of the whole corpus, then for each group of sources those of the other groups (empty where there is no other)."""
-    whole = counts.sum(axis=0)
-    rest = [whole - own if own.any() else None for own in counts]
-    return [log_probabilities(whole)] + [log_probabilities(np.maximum(r, 0.0)) if r is not None and r.sum() > 0.5 else np.zeros(0, np.float32) for r in rest]
-
-
-def bigram_table(docs: DataFrame) -> np.ndarray:
-    """Log probabilities of character bigrams by bin (see log_probabilities), counted over every text; BINS floats."""
-    return models_of(bigram_counts(docs))[0]
-
-
-def log_probabilities(counts: np.ndarray) -> np.ndarray:
-    """Log probability by bin, less the corpus's mean: usual bigrams lie about 0 at every corpus size."""
-    seen = max(1, int((counts > 0).sum()))
-    logs = np.log((counts + 0.05) / (counts.sum() + 0.05 * seen))
-    return (logs - float((counts * logs).sum() / max(1.0, counts.sum()))).astype(np.float32)
-
-
-def score(text: str, lm: np.ndarray) -> tuple[float, int]:
-    """Mean log probability of the bigrams with a character outside ASCII, and their number."""
-    b, high = bins_of(text)
-    b = b[high]
-    return (float(lm[b].mean()), len(b)) if len(b) else (0.0, 0)
-
-
 def transcode(run: str, read_as: str, written: str) -> str | None:
     """The run as it was, when every byte of it survives; None otherwise."""
     try:
@@ -159,22 +115,6 @@ def transcode(run: str, read_as: str, written: str) -> str | None:
         return None
 
 
-class Likelihood:
-    """Mean log probability of any slice of a text, from one pass over it."""
-
-    def __init__(self, text: str, lm: np.ndarray) -> None:
-        b, high = bins_of(text)
-        low = np.flatnonzero(high & (lm[b] < -LOW))
-        #: Clusters of unlikely bigrams, the passages worth deciphering.
-        cuts = np.flatnonzero(np.diff(low) > GAP) + 1
-        self.clusters = [(int(c[0]), int(c[-1]) + 2, len(c)) for c in np.split(low, cuts)] if len(low) else []
-        self.sums = np.concatenate([[0.0], np.cumsum(np.where(high, lm[b], 0.0))]).tolist()
-        self.high = np.concatenate([[0], np.cumsum(high)]).tolist()
-
-    def of(self, s: int, e: int) -> tuple[float, int]:
-        n = self.high[e - 1] - self.high[s] if e > s else 0
-        return ((self.sums[e - 1] - self.sums[s]) / n if n else 0.0), n
-
 
 def peel(run: str, enc: str) -> str | None:
     """Undo UTF-8 read as ``enc``, again while it was done more than once."""
@@ -187,113 +127,6 @@ def peel(run: str, enc: str) -> str | None:
     return was
 
 
-#: Encodings in which six characters of well-formed UTF-8 are no accident.
-DECISIVE = ("cp1252", "cp1251")
-#: How far below the corpus's mean log probability a run is worth deciphering, and a bigram is unlikely.
-DOUBT, LOW, HAN_DOUBT = 1.6, 3.6, 4.1
-#: Unlikely bigrams no further apart than this make a cluster.
-GAP = 24
-
-
-def decipher(text: str, lm: np.ndarray, gains: dict | None = None) -> list[tuple[int, int, str, float, str | None]]:
-    """(start, end, swap, gain in nats, restored or None) for passages that a swap explains better than the text as it is."""
-    found: list[tuple[int, int, str, float, str | None]] = []
-    gains = {} if gains is None else gains
-    if text.isascii():
-        return found
-    quoted: list[tuple[int, int]] | None = None
-
-    def in_quotes(s: int, e: int) -> bool:
-        nonlocal quoted
-        if quoted is None:
-            quoted = [m.span() for m in QUOTES.finditer(text)]
-        return any(a < s and e < b for a, b in quoted)
-
-    own = Likelihood(text, lm)
-    if NOT_HAN.search(text):
-        signs = set(text)
-        for enc, rx in UTF8_RUN.items():
-            if signs.isdisjoint(LEAD[enc]) or signs.isdisjoint(CONT[enc]):
-                continue
-            for m in rx.finditer(text):
-                s, e = m.span()
-                was = peel(m.group(0), enc)
-                if was is None or in_quotes(s, e):
-                    continue
-                if e - s >= 6 and enc in DECISIVE:
-                    found.append((s, e, f"utf8_as_{enc}", 3.0 * (e - s), was))
-                    continue
-                a, b = max(0, s - 1), min(len(text), e + 1)
-                key = text[a:b], enc
-                gain = gains.get(key)
-                if gain is None:
-                    gain = gains[key] = score(text[a:s] + was + text[e:b], lm)[0] - own.of(a, b)[0]
-                if gain > 0.5 or (m.group(0)[0] in "ÃÂâ" and gain > -0.5):
-                    found.append((s, e, f"utf8_as_{enc}", max(gain, 0.1) * (e - s), was))
-        mended = list(found)
-        for c0, c1, weight in own.clusters:
-            if weight < 2 or any(a <= c0 + 1 and c1 - 1 <= b or (a < c1 and c0 < b and b - a >= 6) for a, b, *_ in mended):
-                continue
-            for page, rx in RUN.items():
-                if signs.isdisjoint(HIGH[page]):
-                    continue
-                for m in rx.finditer(text, c0, c1):
-                    s, e = m.span()
-                    base, n = own.of(max(0, s - 1), min(len(text), e + 1))
-                    if n < 2 or base > -DOUBT:
-                        continue
-                    run = m.group(0)
-                    kinds = len({c for c in run if c > "\x7f"})
-                    left, right = text[max(0, s - 1) : s], text[e : e + 1]
-                    for name, w, r in SINGLE:
-                        if w == page:
-                            was = run.translate(CIPHER[name])
-                            gain = score(left + was + right, lm)[0] - base
-                            if gain > (3.0 if kinds == 1 else 0.7) and gain * n > 5 and not in_quotes(s, e):
-                                found.append((s, e, name, gain * n, was))
-                    high = sum(c > "\x7f" for c in run)
-                    for name, w, r in MULTI:
-                        if w == page and high >= 4 and high * 8 > len(run):
-                            was = transcode(run, w, r)
-                            part = was or run.translate(TO_BYTE[w]).encode("latin-1", "replace").decode(r, "replace")
-                            gain = score(part, lm)[0] - base
-                            if gain > (0.7 if was else 1.5) and not in_quotes(s, e):
-                                found.append((s, e, name, gain * n, was))
-    for m in HAN_RUN.finditer(text):
-        s, e = m.span()
-        base, n = own.of(s, e)
-        if base > -HAN_DOUBT:
-            continue
-        run = m.group(0)
-        raw = run.replace("�", "?").encode("gb18030", "replace")
-        was = raw.decode("utf-8", "replace")
-        kept = len(was) - was.count("�") - was.count("?")
-        if kept >= 2 and kept >= 0.45 * len(was) and HAN.search(run):
-            gain = score(was, lm)[0] - base
-            if gain > 0.3 and not in_quotes(s, e):
-                found.append((s, e, "utf8_as_gbk", gain * n, transcode(run, "gb18030", "utf-8") if "�" not in run else None))
-    for m in GBK_LETTER.finditer(text):
-        s, e = m.span()
-        was = transcode(m.group(0), "gb18030", "utf-8")
-        if was:
-            a, b = max(0, s - 1), min(len(text), e + 1)
-            gain = score(text[a:s] + was + text[e:b], lm)[0] - own.of(a, b)[0]
-            if gain > 0.5:
-                found.append((s, e, "utf8_as_gbk", gain * 2, was))
-    lost = [m.start() for m in LOST.finditer(text) if not in_quotes(m.start(), m.start() + 1)] if "�" in text else []
-    if lost:
-        beside = any((i and WORDISH.match(text[i - 1])) or (i + 1 < len(text) and WORDISH.match(text[i + 1])) for i in lost)
-        if len(lost) > 1 or beside:
-            found.append((lost[0], lost[-1] + 1, "lost", 1.0 * len(lost), None))
-    return found
-
-
-#: Least gain in nats of a passage that is not unlikely as it stands, gain a bigram, and share of its bigrams that gain.
-LEAST_GAIN, MEAN_GAIN, GAINING = 12.0, 0.7, 0.65
-#: Different characters of such a passage that a swap changes.
-LEAST_KINDS = 3
-#: How far a gain may fall back before its passage ends.
-FALL = 12.0
 #: By code point below 2^16 and swap, what the swap makes of a character.
 BECOMES = np.repeat(np.arange(1 << 16, dtype=np.uint64)[:, None], len(SINGLE), axis=1)
 for _k, (_name, _, _) in enumerate(SINGLE):
@@ -304,6 +137,8 @@ SWAPPED = BECOMES != np.arange(1 << 16, dtype=np.uint64)[:, None]
 CHANGES = SWAPPED.any(axis=1)
 
 
+
+
 #: Nats that a pair of characters costs that no orthography writes often, however usual the corpus makes it.
 ODD = 3.0
 
@@ -327,218 +162,434 @@ for _x, _y in [(x, y) for x in range(1, 6) for y in (3, 5)] + [(x, y) for x in (
 KIND_BECOMES = KIND[BECOMES.astype(np.int64)]
 
 
-def oddness(text: str) -> float:
-    """Mean cost of the pairs of characters of a text."""
-    k = KIND[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)]
-    return float(COST[k[:-1], k[1:]].mean()) if len(k) > 1 else 0.0
+def log_probabilities(counts: np.ndarray) -> np.ndarray:
+    """Log probability by bin, less the corpus's mean: usual bigrams lie about 0 at every corpus size."""
+    seen = max(1, int((counts > 0).sum()))
+    logs = np.log((counts + 0.05) / (counts.sum() + 0.05 * seen))
+    return (logs - float((counts * logs).sum() / max(1.0, counts.sum()))).astype(np.float32)
 
 
 def hashed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return ((a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(44)).astype(np.int64)
+    """Bins of the bigrams of code points ``a`` before ``b``."""
+    return ((a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(44)).astype(np.int64)
+
+
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+# ---- the language model ---------------------------------------------------
 
+#: Letters and signs of a page's upper half; punctuation that every script uses is none.
+STRANGE = CHANGES & (KIND != 0)
+#: Least length of a run of well-formed UTF-8 that is no accident, by the page it was read in.
+NO_ACCIDENT = {"cp1252": 2, "cp1250": 4, "mac_roman": 4, "cp437": 4, "cp850": 4}
 
-def stretches(gain: np.ndarray) -> list[tuple[int, int]]:
-    """Stretches (first, last + 1) of greatest sum, each at least LEAST_GAIN, that no fall of FALL parts."""
+
+#: Characters of two bytes that are the first two of a Han character in UTF-8; few texts hold any.
+UTF8_IN_GBK = np.zeros(1 << 16, bool)
+for _lead in range(0xE3, 0xEA):
+    for _trail in range(0x80, 0xC0):
+        _c = bytes([_lead, _trail]).decode("gb18030", "ignore")
+        if len(_c) == 1 and _c.isalpha():
+            UTF8_IN_GBK[ord(_c)] = True
+
+
+def reading(text: str) -> str:
+    """What a text says by its structure alone; parts that several swaps mend equally are left out."""
+    if text.isascii():
+        return text
+    if int(STRANGE[np.minimum(codes_of(text), 0xFFFF)].sum()) >= 2:
+        signs = set(text)
+        for enc, rx in UTF8_RUN.items():
+            if not signs.isdisjoint(LEAD[enc]) and not signs.isdisjoint(CONT[enc]):
+                text = rx.sub(lambda m, enc=enc: (peel(m.group(0), enc) or m.group(0)) if len(m.group(0)) >= NO_ACCIDENT.get(enc, 6) else m.group(0), text)
+        for name, w, r in MULTI:
+            if w in DENSE and r == "gb18030" and not signs.isdisjoint(HIGH[w]):
+                text = DENSE[w].sub(lambda m, w=w, r=r: _dense(m.group(0), w, r), text)
+        a = np.minimum(codes_of(text), 0xFFFF)
+        at = np.flatnonzero(CHANGES[a[:-1]] | CHANGES[a[1:]]) if len(a) > 1 else ()
+        if len(at):
+            x, y = a[at], a[at + 1]
+            base = float(COST[KIND[x], KIND[y]].sum())
+            if base >= 2 * ODD and base >= 0.45 * len(at):
+                mended = COST[KIND_BECOMES[x], KIND_BECOMES[y]].sum(axis=0)
+                best = float(mended.min())
+                if base - best >= 0.6 * base:
+                    equal = np.flatnonzero(mended <= best + ODD)
+                    text = text.translate(CIPHER[SINGLE[equal[0]][0]]) if len(equal) == 1 else "".join(" " if c > "\x7f" and STRANGE[min(ord(c), 0xFFFF)] else c for c in text)
+        a = np.minimum(codes_of(text), 0xFFFF)
+    else:
+        a = np.minimum(codes_of(text), 0xFFFF)
+    return HAN_RUN.sub(lambda m: _from_gbk(m.group(0)) or m.group(0), text) if int(UTF8_IN_GBK[a].sum()) >= 3 else text
+
+
+def _dense(run: str, w: str, r: str) -> str:
+    """A dense run as Chinese, if nearly all of it is in the rows of usual characters and signs."""
+    raw = run.translate(TO_BYTE[w]).encode("latin-1", "replace")
+    leads, at = [], 0
+    while at < len(raw):
+        if raw[at] < 128:
+            at += 1
+        else:
+            leads.append(raw[at])
+            at += 2
+    usual = sum(0xA1 <= b <= 0xA3 or 0xB0 <= b <= 0xD7 for b in leads)
+    return (transcode(run, w, r) or run) if usual >= 0.85 * len(leads) else run
+
+
+def _from_gbk(run: str) -> str | None:
+    """A run of Han as UTF-8, if most of its bytes are; true Chinese seldom is."""
+    if len(run) < 6:
+        return None
+    was = run.replace("\ufffd", "?").encode("gb18030", "replace").decode("utf-8", "replace")
+    kept = len(was) - was.count("\ufffd") - was.count("?")
+    return was if kept >= 3 and kept >= 0.6 * len(was) else None
+
+
+def bigram_table(docs: DataFrame) -> np.ndarray:
+    """Log probabilities of character bigrams by bin (see log_probabilities), counted over every text; BINS floats."""
+    def count(batches):
+        total = np.zeros(BINS, np.int64)
+        for (texts,) in batches:
+            total += np.bincount(bins_of("\x00".join(reading(t) for t in texts if t))[0], minlength=BINS)
+        at = np.flatnonzero(total)
+        yield from zip(at.tolist(), total[at].tolist())
+
+    rows = flat_map_partitions(docs.select("text"), count, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(BINS)
+    counts[rows.column("bin").to_numpy()] = rows.column("n").to_numpy()
+    return log_probabilities(counts)
+
+
+# ---- passages -------------------------------------------------------------
+
+#: How far below the corpus's mean log probability a bigram is unlikely, and a run of Han as a whole.
+LOW, HAN_DOUBT = 3.6, 4.1
+#: Unlikely bigrams no further apart than this are one passage's.
+GAP = 24
+#: Least gain in nats of a swap of letters, a bigram's mean, and the same of a passage of one letter only.
+LEAST_GAIN, MEAN_GAIN, LONE_GAIN = 5.0, 0.7, 3.0
+#: Letters that a swap into another alphabet must give: alphabets change word by word.
+WORD = 4
+ALPHABET = [r in ("cp1251", "koi8_r", "cp866", "iso8859_5", "iso8859_7", "cp1253") for _, _, r in SINGLE]
+#: How far a gain may fall back before its passage ends.
+FALL = 12.0
+
+
+def stretches(gain: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Stretches (first, last + 1) of greatest sum, each at least ``least``, that no fall of FALL parts."""
     out, start, total, best, end = [], 0, 0.0, 0.0, 0
     for i, g in enumerate(gain.tolist()):
         total += g
         if total > best:
             best, end = total, i + 1
         if total <= 0.0 or total < best - FALL:
-            if best >= LEAST_GAIN:
+            if best >= least:
                 out.append((start, end))
             start, total, best = i + 1, 0.0, 0.0
-    if best >= LEAST_GAIN:
+    if best >= least:
         out.append((start, end))
     return out
 
 
-def regained(text: str, models: list[np.ndarray], known: dict | None = None) -> list[tuple[int, int, str, float, str | None]]:
-    """As decipher(), by the gain of a swap in any of the models alone: the passage may be as usual as any."""
+def mean_of(text: str, lm: np.ndarray) -> tuple[float, int]:
+    """Mean log probability of the bigrams with a character outside ASCII, and their number."""
+    b, high = bins_of(text)
+    b = b[high]
+    return (float(lm[b].sum()) / len(b), len(b)) if len(b) else (0.0, 0)
+
+
+def by_letters(text: str, a: np.ndarray, lo: int, hi: int, free: np.ndarray, lm: np.ndarray):
+    """(start, end, swap, gain) of stretches between ``lo`` and ``hi`` that a swap of single bytes reads better."""
+    w = a[lo:hi]
+    at = np.flatnonzero((CHANGES[w[:-1]] | CHANGES[w[1:]]) & free[lo : hi - 1])
+    if len(at) < 2:
+        return
+    x, y = w[at], w[at + 1]
+    kinds = np.unique(np.concatenate([x, y]))
+    swaps = np.flatnonzero(SWAPPED[kinds].any(axis=0))
+    if not len(swaps):
+        return
+    old = lm[hashed(x, y)] - COST[KIND[x], KIND[y]]
+    gain = lm[hashed(BECOMES[x][:, swaps], BECOMES[y][:, swaps])] - COST[KIND_BECOMES[x][:, swaps], KIND_BECOMES[y][:, swaps]] - old[:, None]
+    total = gain.cumsum(axis=0, dtype=np.float64)
+    low = np.minimum(np.minimum.accumulate(total, axis=0), 0.0)
+    most = np.maximum(total[0], (total[1:] - low[:-1]).max(axis=0, initial=-1e9))
+    for k in np.flatnonzero(most >= LEAST_GAIN):
+        for i, j in stretches(gain[:, k], LEAST_GAIN):
+            s, e = lo + int(at[i]), lo + int(at[j - 1]) + 2
+            changed = np.flatnonzero(SWAPPED[a[s:e], swaps[k]])
+            if not len(changed):
+                continue
+            s, e = s + int(changed[0]), s + int(changed[-1]) + 1
+            part = gain[i:j, k]
+            spots = a[s:e][SWAPPED[a[s:e], swaps[k]]]
+            if len(spots) < WORD and ALPHABET[swaps[k]]:
+                continue
+            if part.mean() > (LONE_GAIN if len(set(spots.tolist())) == 1 else MEAN_GAIN):
+                yield s, e, SINGLE[swaps[k]][0], float(part.sum())
+
+
+def decipher(text: str, lm: np.ndarray) -> list[tuple[int, int, str, float, str | None]]:
+    """(start, end, swap, gain in nats, restored or None) of passages that a swap may explain better than the text as it is."""
+    if text.isascii():
+        return []
     found: list[tuple[int, int, str, float, str | None]] = []
-    if text.isascii() or len(text) < 2:
-        return found
-    quotes: list[tuple[int, int]] | None = None
-    known = {} if known is None else known
+    quoted: list[tuple[int, int]] | None = None
 
     def in_quotes(s: int, e: int) -> bool:
-        nonlocal quotes
-        if quotes is None:
-            quotes = [m.span() for m in QUOTES.finditer(text)]
-        return any(p < s and e < q for p, q in quotes)
-
-    a = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)
-    changed = CHANGES[a]
-    kinds = np.unique(a[changed])
-    swaps = np.flatnonzero(SWAPPED[kinds].sum(axis=0) >= LEAST_KINDS)
-    if len(swaps):
-        at = np.flatnonzero(changed[:-1] | changed[1:])
-        x, y = a[at], a[at + 1]
-        old = hashed(x.astype(np.uint64), y.astype(np.uint64))
-        new = hashed(BECOMES[x][:, swaps], BECOMES[y][:, swaps])
-        cost = COST[KIND[x], KIND[y]][:, None] - COST[KIND_BECOMES[x][:, swaps], KIND_BECOMES[y][:, swaps]]
-        for lm in models:
-            gain = lm[new] - lm[old][:, None] + cost
-            total = gain.cumsum(axis=0, dtype=np.float64)
-            low = np.minimum(np.minimum.accumulate(total[:-1], axis=0), 0.0)
-            for k in np.flatnonzero(np.maximum(total[0], (total[1:] - low).max(axis=0, initial=0.0)) >= LEAST_GAIN):
-                name = SINGLE[swaps[k]][0]
-                for i, j in stretches(gain[:, k]):
-                    part = gain[i:j, k]
-                    if part.mean() <= MEAN_GAIN or (part > 0).mean() < GAINING:
+        nonlocal quoted
+        if quoted is None:
+            quoted = [m.span() for m in QUOTES.finditer(text)]
+        return any(p <= s and e <= q for p, q in quoted)
+
+    b, high = bins_of(text)
+    likely = lm[b]
+    low = np.flatnonzero(high & (likely < -LOW))
+    if len(low):
+        sums = np.concatenate([[0.0], np.where(high, likely, 0.0).cumsum(dtype=np.float64)])
+        highs = np.concatenate([[0], high.cumsum()])
+
+        def as_it_is(p: int, q: int) -> tuple[float, int]:
+            n = int(highs[q - 1] - highs[p]) if q > p else 0
+            return (float(sums[q - 1] - sums[p]) / n if n else 0.0), n
+
+        a = np.minimum(codes_of(text), 0xFFFF)
+        free = np.ones(len(a), bool)
+        cuts = np.flatnonzero(np.diff(low) > GAP) + 1
+        for part in np.split(low, cuts):
+            lo, hi = max(0, int(part[0]) - 8), min(len(text), int(part[-1]) + 10)
+            sub = text[lo:hi]
+            if NOT_HAN.search(sub):
+                signs = set(sub)
+                for enc, rx in UTF8_RUN.items():
+                    if signs.isdisjoint(LEAD[enc]) or signs.isdisjoint(CONT[enc]):
                         continue
-                    s, e = int(at[i]), int(at[j - 1]) + 2
-                    while s < e and not changed[s]:
-                        s += 1
-                    while e > s and not changed[e - 1]:
-                        e -= 1
-                    if SWAPPED[np.unique(a[s:e]), swaps[k]].sum() >= LEAST_KINDS and not in_quotes(s, e):
-                        found.append((s, e, name, float(part.sum()), text[s:e].translate(CIPHER[name])))
-    # a multi-byte encoding makes of a passage several signs or letters of the page it was read in
-    runs = []
-    if len(kinds) > 1:
-        signs = set(text)
-        runs = [(m.span(), w, r, name) for name, w, r in MULTI if w in DENSE and not HIGH[w].isdisjoint(signs) for m in DENSE[w].finditer(text)]
-        runs += [(m.span(), e, "utf-8", f"utf8_as_{e}") for e, rx in UTF8_RUN.items() if e not in DECISIVE and not LEAD[e].isdisjoint(signs) and not CONT[e].isdisjoint(signs) for m in rx.finditer(text)]
-    runs += [(m.span(), "gb18030", "utf-8", "utf8_as_gbk") for m in HAN_RUN.finditer(text)]
-    for (s, e), w, r, name in runs:
-        key = text[s:e], name
-        if key not in known:
-            known[key] = transcoded(text[s:e], w, r, models)
-        for gain, was in known[key]:
-            if not in_quotes(s, e):
-                found.append((s, e, name, gain, was))
+                    for m in rx.finditer(sub):
+                        was = peel(m.group(0), enc)
+                        s, e = lo + m.start(), lo + m.end()
+                        if was is None or in_quotes(s, e):
+                            continue
+                        p, q = max(0, s - 1), min(len(text), e + 1)
+                        sure = e - s >= 6 and NO_ACCIDENT.get(enc, 6) < 6 or e - s >= 12
+                        gain = 0.0 if sure else mean_of(text[p:s] + was + text[e:q], lm)[0] - as_it_is(p, q)[0]
+                        if sure or gain > 0.5 or (m.group(0)[0] in "ÃÂâ" and gain > -0.5):
+                            found.append((s, e, f"utf8_as_{enc}", max(gain, 3.0 if sure else 0.1) * (e - s), was))
+                            free[max(0, s - 1) : e] = False
+                if len(part) > 1 and free[lo:hi].any():
+                    for s, e, name, gain in by_letters(text, a, lo, hi, free, lm):
+                        if not in_quotes(s, e):
+                            found.append((s, e, name, gain, text[s:e].translate(CIPHER[name])))
+                    for name, w, r in MULTI:
+                        if w not in DENSE or signs.isdisjoint(HIGH[w]):
+                            continue
+                        for m in DENSE[w].finditer(sub):
+                            run = m.group(0)
+                            if 2 * int(free[lo + m.start() : lo + m.end()].sum()) < len(run):
+                                continue
+                            if not any(c > "\x7f" and STRANGE[min(ord(c), 0xFFFF)] for c in run):
+                                continue
+                            base, n = as_it_is(lo + m.start(), lo + m.end())
+                            was = transcode(run, w, r)
+                            part_was = was or run.translate(TO_BYTE[w]).encode("latin-1", "replace").decode(r, "replace")
+                            gain = mean_of(part_was, lm)[0] - base
+                            if gain > (0.7 if was else 1.5) and not in_quotes(lo + m.start(), lo + m.end()):
+                                found.append((lo + m.start(), lo + m.end(), name, gain * n, was))
+            for m in HAN_RUN.finditer(sub):
+                run = m.group(0)
+                base, n = as_it_is(lo + m.start(), lo + m.end())
+                if base > -HAN_DOUBT or not HAN.search(run):
+                    continue
+                was = run.replace("\ufffd", "?").encode("gb18030", "replace").decode("utf-8", "replace")
+                kept = len(was) - was.count("\ufffd") - was.count("?")
+                if kept >= 2 and kept >= 0.45 * len(was):
+                    gain = mean_of(was, lm)[0] - base
+                    s, e = lo + m.start(), lo + m.end()
+                    if gain > 0.3 and not in_quotes(s, e):
+                        found.append((s, e, "utf8_as_gbk", gain * n, transcode(run, "gb18030", "utf-8") if "\ufffd" not in run else None))
+            for m in GBK_LETTER.finditer(sub):
+                s, e = lo + m.start(), lo + m.end()
+                was = transcode(m.group(0), "gb18030", "utf-8")
+                if was:
+                    p, q = max(0, s - 1), min(len(text), e + 1)
+                    gain = mean_of(text[p:s] + was + text[e:q], lm)[0] - as_it_is(p, q)[0]
+                    if gain > 0.5:
+                        found.append((s, e, "utf8_as_gbk", gain * 2, was))
+    lost = [m.start() for m in LOST.finditer(text) if not in_quotes(m.start(), m.start() + 1)] if "\ufffd" in text else []
+    if lost:
+        beside = any((i and WORDISH.match(text[i - 1])) or (i + 1 < len(text) and WORDISH.match(text[i + 1])) for i in lost)
+        if len(lost) > 1 or beside:
+            found.append((lost[0], lost[-1] + 1, LOST_BYTES, 1.0 * len(lost), None))
     return found
 
 
-def transcoded(run: str, w: str, r: str, models: list[np.ndarray]) -> list[tuple[float, str | None]]:
-    """(gain in nats, restored or None) of a run read as ``r`` instead of ``w``, for each model by which it reads better."""
-    if w == "gb18030":
-        part = run.replace("�", "?").encode("gb18030", "replace").decode(r, "replace")
-        lost = part.count("�")
-        # of what is not ASCII most must be whole again; the bytes of true Chinese seldom make UTF-8
-        if 0.45 * lost > 0.55 * (len(part) - lost - len(part.encode("ascii", "ignore"))) or lost == len(part) or not HAN.search(run):
-            return []
-    else:
-        part = run.translate(TO_BYTE[w]).encode("latin-1", "replace").decode(r, "replace")
-    own, high = bins_of(run)
-    own = own[high]
-    new, high = bins_of(part)
-    new = new[high]
-    if len(own) < 3 or len(new) < 2:
-        return []
-    odd = oddness(run) - oddness(part)
-    out = []
-    for lm in models:
-        better = lm[new] - lm[own].mean() + odd
-        if better.mean() > MEAN_GAIN and better.sum() >= LEAST_GAIN and (better > 0).mean() >= GAINING:
-            out.append((float(better.mean() * len(own)), None if "�" in part or "�" in run else part))
-    return out
-
-
-#: Unbroken runs of a page's upper half, as multi-byte text makes them.
-DENSE = {w: re.compile("[" + "".join(re.escape(c) for c in sorted(HIGH[w])) + "][" + "".join(re.escape(c) for c in sorted(HIGH[w])) + "!-~]{3,}") for w in MULTI_PAGE}
-AS_IS = "as_is"
+LOST_BYTES = "lost"
+PASSAGES = "doc_id bigint, source string, start int, stop int, before string, garbled string, after string, options array<struct<swap:string,gain:double,restored:string>>"
 
 
-def candidates(docs: DataFrame, models: list[np.ndarray]) -> DataFrame:
-    """(doc_id, source, start, stop, swap, gain, garbled, restored) of each passage and swap that explains it, the greatest gain of the models."""
+def passages_of(docs: DataFrame, lm: np.ndarray) -> DataFrame:
+    """One row a passage: where it stands, its neighbours, and the swaps that may explain it (at most one option a swap)."""
     def scan(ids, sources, texts):
-        gains: dict = {}
-        known: dict[int, dict] = {}
         for i, src, text in zip(ids, sources, texts):
             if not text or text.isascii():
                 continue
-            best: dict = {}
-            rest = models[1 + group_of(src)]
-            for s, e, swap, gain, was in decipher(text, models[0], gains) + regained(text, [models[0], rest] if len(rest) else models[:1], known.setdefault(group_of(src), {})):
-                if gain > best.get((s, e, swap), (-1e9,))[0]:
-                    best[s, e, swap] = gain, was
-            for (s, e, swap), (gain, was) in best.items():
-                yield i, src, s, e, swap, gain, text[s:e], was
-
-    return flat_map_batches(docs.select("doc_id", "source", "text"), scan, "doc_id bigint, source string, start int, stop int, swap string, gain double, garbled string, restored string")
-
-
-def fitted(docs: DataFrame) -> DataFrame:
-    """Candidates with their posteriors, the bigram table fitted by EM.
-
-    Each round moves the expected counts of the passages from what stands there
-    to what was written, and ends when no more than one in a hundred comes up.
-    """
-    counts = bigram_counts(docs)
-    models, before = models_of(counts), -1
-    while True:
-        chosen = settle(weigh(candidates(docs, models)))
-        now = chosen.where(F.col("swap") != AS_IS).select("doc_id").distinct().count()
-        if now <= max(before * 1.01, 0):
-            return chosen
-        before = now
-
-        def moved(batches):
-            total = np.zeros((GROUPS, BINS))
-            for sources, old, new, posts in batches:
-                for src, o, n, post in zip(sources, old, new, posts):
-                    np.add.at(total[group_of(src)], bins_of(o)[0], -post)
-                    np.add.at(total[group_of(src)], bins_of(n)[0], post)
-            for g, i in zip(*np.nonzero(total)):
-                yield int(g) * BINS + int(i), float(total[g, i])
-
-        passage = chosen.where((F.col("swap") != AS_IS) & F.col("restored").isNotNull()).groupBy("doc_id", "start", "stop").agg(F.max_by(F.struct("source", "garbled", "restored", "post"), F.struct("post", "swap")).alias("b"))
-        outer = apart(passage.select("doc_id", "start", "stop", "b.*"))
-        models = models_of(np.maximum(counts + summed(flat_map_partitions(outer.select("source", "garbled", "restored", "post"), moved, "bin int, n double")), 0.0))
-
-
-def apart(passages: DataFrame) -> DataFrame:
-    """Passages of a text that do not overlap, the longest first, so that nothing is moved twice."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("doc_id").orderBy("start", F.desc("stop"))
-    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return passages.withColumn("_reach", reach).where(F.col("_reach").isNull() | (F.col("start") >= F.col("_reach"))).drop("_reach")
-
-
-def weigh(cand: DataFrame, rounds: int = 2) -> DataFrame:
-    """Posterior of each swap of a passage and of its standing as it is, its source's mixture fitted by EM.
-
-    A source and a swap are few by nature; the weights are sums with partial aggregation.
-    """
-    from pyspark.sql import Window
-
-    passage = Window.partitionBy("doc_id", "start", "stop")
-    # bytes that a decoder lost were never written so
-    plain = cand.where(F.col("swap") != "lost").select("doc_id", "source", "start", "stop", F.lit(AS_IS).alias("swap"), F.lit(0.0).alias("gain"), "garbled", F.lit(None).cast("string").alias("restored")).distinct()
-    like = cand.unionByName(plain).withColumn("ll", F.exp(F.col("gain") - F.max("gain").over(passage))).withColumn("w", F.lit(1.0))
-    for _ in range(rounds):
-        post = like.withColumn("post", F.col("ll") * F.col("w") / F.sum(F.col("ll") * F.col("w")).over(passage))
-        weights = post.groupBy(F.coalesce("source", F.lit("")).alias("_src"), F.col("swap").alias("_swap")).agg(F.sum("post").alias("w"))
-        like = like.drop("w").join(weights, (F.coalesce("source", F.lit("")) == F.col("_src")) & (F.col("swap") == F.col("_swap"))).drop("_src", "_swap")
-    return like.withColumn("post", F.col("ll") * F.col("w") / F.sum(F.col("ll") * F.col("w")).over(passage)).drop("ll", "w")
-
-
-def best_of(chosen: DataFrame) -> DataFrame:
-    """(doc_id, start, stop, b) of the passages that a swap explains best, b its swap and restored text."""
-    best = chosen.groupBy("doc_id", "start", "stop").agg(F.max_by(F.struct("swap", "restored"), F.struct("post", "swap")).alias("b"))
-    return best.where(F.col("b.swap") != AS_IS)
+            at: dict[tuple[int, int], dict[str, tuple]] = {}
+            for s, e, swap, gain, was in decipher(text, lm):
+                options = at.setdefault((s, e), {})
+                if swap not in options or gain > options[swap][0]:
+                    options[swap] = gain, was
+            for (s, e), options in at.items():
+                yield i, src, s, e, text[max(0, s - 1) : s], text[s:e], text[e : e + 1], [{"swap": k, "gain": g, "restored": w} for k, (g, w) in sorted(options.items())]
+
+    return flat_map_batches(docs.select("doc_id", "source", "text"), scan, PASSAGES)
+
+
+# ---- expectation-maximisation ---------------------------------------------
+
+#: Counts that the page's letter of a byte starts with, and every other letter.
+PAGE_PRIOR, OTHER_PRIOR = 20.0, 0.02
+#: Counts that each swap of a group and standing as it is start with.
+SWAP_PRIOR, AS_IS_PRIOR = 1.0, 2.0
+ROUNDS = 2
+SWAPS = [name for name, _, _ in SINGLE]
+#: By swap and byte, the letters that the byte may stand for: the page's own first, then those of all pages that text read so was written in, -1 where there is none.
+LETTERS = np.full((len(SINGLE), 128, 12), -1, np.int64)
+#: By swap and code point, the byte less 128; -1 outside the upper half.
+BYTE_OF = np.full((len(SINGLE), 1 << 16), -1, np.int16)
+for _k, (_name, _w, _r) in enumerate(SINGLE):
+    for _b, _c in PAGE[_w].items():
+        BYTE_OF[_k, ord(_c)] = _b - 128
+        _options = list(dict.fromkeys([PAGE[_r][_b], *(PAGE[r][_b] for _, w, r in SINGLE if w == _w), _c]))[: LETTERS.shape[2]]
+        LETTERS[_k, _b - 128, : len(_options)] = [ord(x) for x in _options]
+
+
+class Ciphers:
+    """Learned log probabilities of letters by group, swap and byte, and of swaps by group."""
+
+    def __init__(self, letters: np.ndarray | None = None, swaps: dict[tuple[int, str], float] | None = None) -> None:
+        prior = np.where(LETTERS >= 0, OTHER_PRIOR, 0.0)
+        prior[:, :, 0] = PAGE_PRIOR
+        counts = (np.zeros((GROUPS, *LETTERS.shape)) if letters is None else letters) + prior
+        with np.errstate(divide="ignore"):
+            self.theta = np.log(counts / counts.sum(axis=3, keepdims=True)).astype(np.float32)
+        #: The likeliest letter of a byte.
+        self.best = np.take_along_axis(np.broadcast_to(LETTERS, counts.shape), counts.argmax(axis=3)[..., None], 3)[..., 0]
+        self.swaps = swaps or {}
+
+    def share(self, group: int, swap: str) -> float:
+        return math.log(self.swaps.get((group, swap), 0.0) + (AS_IS_PRIOR if swap == AS_IS else SWAP_PRIOR))
+
+    def weigh(self, group: int, before: str, garbled: str, after: str, options: list[dict], lm: np.ndarray, learn=None) -> tuple[str, float, str | None]:
+        """The likeliest (swap, posterior, restored) of a passage; ``learn`` is told the expected letters."""
+        whole = np.minimum(codes_of(before + garbled + after), 0xFFFF).astype(np.int64)
+        first, last = len(before), len(before) + len(garbled)
+        scores, texts, made = [], [], []
+        for o in options:
+            k = INDEX.get(o["swap"])
+            if k is None:
+                scores.append(o["gain"] + self.share(group, o["swap"]))
+                texts.append(o["restored"])
+                made.append(None)
+                continue
+            byte = BYTE_OF[k, whole]
+            byte[:first] = byte[last:] = -1
+            at = np.flatnonzero(byte >= 0)
+            read = whole.copy()
+            read[at] = self.best[group, k, byte[at]]
+            pairs = np.unique(np.concatenate([at, at - 1]))
+            pairs = pairs[(pairs >= 0) & (pairs < len(whole) - 1)]
+            x, y, u, v = read[pairs], read[pairs + 1], whole[pairs], whole[pairs + 1]
+            gain = float((lm[hashed(x, y)] - COST[KIND[x], KIND[y]] - lm[hashed(u, v)] + COST[KIND[u], KIND[v]]).sum()) + float(self.theta[group, k, byte[at]].max(axis=1).sum())
+            scores.append(gain + self.share(group, o["swap"]))
+            texts.append("".join(map(chr, read[first:last])) if (whole[first:last] < 0xFFFF).all() else garbled.translate(dict(zip(whole[at].tolist(), read[at].tolist()))))
+            made.append((k, at, byte[at], read))
+        if all(o["swap"] != LOST_BYTES for o in options):
+            scores.append(self.share(group, AS_IS))  # bytes that a decoder lost were never written so
+            texts.append(None)
+        scores = np.array(scores)
+        post = np.exp(scores - scores.max())
+        post /= post.sum()
+        if learn:
+            for p, m in zip(post.tolist(), made):
+                if m and p > 1e-3:
+                    k, at, byte, read = m
+                    letters = LETTERS[k, byte]
+                    seen = np.maximum(letters, 0)
+                    left, right = read[np.maximum(at - 1, 0)][:, None], read[np.minimum(at + 1, len(read) - 1)][:, None]
+                    fits = np.where(at[:, None] > 0, lm[hashed(np.broadcast_to(left, seen.shape), seen)], 0.0) + np.where(at[:, None] < len(read) - 1, lm[hashed(seen, np.broadcast_to(right, seen.shape))], 0.0)
+                    fits = np.where(letters >= 0, fits + self.theta[group, k, byte], -1e9)
+                    fits = np.exp(fits - fits.max(axis=1, keepdims=True))
+                    learn(k, byte, p * fits / fits.sum(axis=1, keepdims=True))
+        i = int(post.argmax())
+        return (options[i]["swap"] if i < len(options) else AS_IS), float(post[i]), texts[i]
+
+
+AS_IS = "as_is"
+INDEX = {name: k for k, name in enumerate(SWAPS)}
+
+
+def group_of(source: str | None) -> int:
+    return xxhash.xxh64_intdigest(source or "") % GROUPS
+
+
+def learned(passages: DataFrame, lm: np.ndarray) -> Ciphers:
+    """The tables after ROUNDS rounds; each sends the driver at most GROUPS x swaps x 128 x 12 sums."""
+    ciphers = Ciphers()
+    shape = (GROUPS, *LETTERS.shape)
+    for _ in range(ROUNDS):
+        def expected(batches, ciphers=ciphers):
+            letters = np.zeros(shape)
+            swaps: dict[tuple[int, str], float] = {}
+            for sources, befores, texts, afters, options in batches:
+                for src, before, text, after, opts in zip(sources, befores, texts, afters, options):
+                    g = group_of(src)
+                    swap, post, _ = ciphers.weigh(g, before, text, after, opts, lm, lambda k, byte, n, g=g: np.add.at(letters[g, k], byte, n))
+                    swaps[g, swap] = swaps.get((g, swap), 0.0) + post
+            at = np.flatnonzero(letters)
+            yield from ((int(i), None, float(n)) for i, n in zip(at, letters.flat[at]))
+            yield from ((g, swap, n) for (g, swap), n in swaps.items())
+
+        rows = flat_map_partitions(passages.select("source", "before", "garbled", "after", "options"), expected, "at int, swap string, n double").groupBy("at", "swap").agg(F.sum("n").alias("n")).collect()
+        letters = np.zeros(shape)
+        for r in rows:
+            if r.swap is None:
+                letters.flat[r.at] = r.n
+        ciphers = Ciphers(letters, {(r.at, r.swap): r.n for r in rows if r.swap is not None})
+    return ciphers
+
+
+def chosen(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, stop, swap, restored) of the passages that a swap explains better than their standing as they are."""
+    lm = bigram_table(docs)
+    passages = settle(passages_of(docs, lm))
+    ciphers = learned(passages, lm)
+
+    def decide(ids, sources, starts, stops, befores, texts, afters, options):
+        for i, src, s, e, before, text, after, opts in zip(ids, sources, starts, stops, befores, texts, afters, options):
+            swap, _, was = ciphers.weigh(group_of(src), before, text, after, opts, lm)
+            if swap != AS_IS:
+                yield i, s, e, swap, was
+
+    return flat_map_batches(passages, decide, "doc_id bigint, start int, stop int, swap string, restored string")
 
 
 def garbled_found(docs: DataFrame) -> DataFrame:
     """Distinct doc_id of texts with a passage that a swap explains best."""
-    return best_of(fitted(docs)).select("doc_id").distinct()
+    return chosen(docs).select("doc_id").distinct()
 
 
 def restored(docs: DataFrame) -> DataFrame:
     """(doc_id, swaps, text) of affected texts; passages that cannot be restored stay as they are."""
-    best = best_of(fitted(docs))
-    per = best.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "b.swap", "b.restored")).alias("passages"))
+    per = chosen(docs).groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop", "swap", "restored")).alias("passages"))
 
     def mend(ids, texts, passages):
         for i, text, ps in zip(ids, texts, passages):
             parts, last = [], 0
-            for p in sorted(ps, key=lambda p: (p["start"], -p["stop"])):
+            for p in sorted(ps, key=lambda p: (p["start"], -p["stop"], p["swap"])):
                 if p["restored"] is not None and p["start"] >= last:
                     parts += [text[last : p["start"]], p["restored"]]
                     last = p["stop"]
             yield i, sorted({p["swap"] for p in ps}), "".join(parts) + text[last:]
 
-    return flat_map_batches(docs.select("doc_id", "text").join(per, "doc_id"), mend, "doc_id bigint, swaps array<string>, text string")
+    return flat_map_batches(merge_join(docs.select("doc_id", "text").distinct(), per, "doc_id"), mend, "doc_id bigint, swaps array<string>, text string")
