@@ -35,8 +35,8 @@ from notefold.functions.joins import merge_join
 SPACE = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 #: Least and greatest number of bits of a token bitmap; it has twice as many bits as the set has tokens, or more.
 LEAST_BITS, MOST_BITS = 512, 1 << 16
-#: Keys of a class, and minima in each: a pair of similarity 0.6 is missed once in 260, one of 0.65 once in 2 600, one of 0.7 once in 60 000.
-BANDS, ROWS = 40, 4
+#: Keys of a class, and minima in each: a pair of similarity 0.6 is missed once in 150, one of 0.65 once in 1 200, one of 0.7 once in 20 000.
+BANDS, ROWS = 36, 4
 #: Bits of a key, and of the shorter form by which keys are counted; a false match costs time, never a result.
 KEY_BITS, COUNT_BITS = 48, 40
 #: Children of a tree node.
@@ -284,7 +284,7 @@ def near_copies(texts: DataFrame, similarity: float = 0.6, width: int = 5, least
     found = settle(signatures(long, width))
     members = found.select("field", "record_key", "cls").distinct()
     pairs = settle(candidate_pairs(blocks(found, chunk), similarity))
-    return members, verified(pairs, settle(bodies_of(pairs, members, long)), similarity, width)
+    return members, verified(pairs, bodies_of(pairs, members, long), similarity, width)
 
 
 def copies_found(texts: DataFrame) -> DataFrame:
