@@ -11,8 +11,8 @@ Policy, for every input:
 * an ambiguous local time (clocks set back) takes the earlier instant, a
   nonexistent one (clocks set forward) is moved on by the gap; ``dst`` says which;
 * a day without a time stays that day and has no instant;
-* "n hours ago" counts back from the fetch instant; "yesterday hh:mm" is the day
-  before the fetch on the clock of ``zone``.
+* "n hours ago" counts back from the fetch instant; "yesterday hh:mm" is that time
+  of the day before the fetch on the clock of ``zone``, an instant with its UTC day.
 """
 
 from __future__ import annotations
@@ -138,8 +138,7 @@ def normalize_times(df: DataFrame, raw: str, fetched: str, zone: str, out: str =
     u = F.col("_utc")
     wall = lambda minutes: F.convert_timezone(F.lit("UTC"), F.col("_zone"), u + F.make_dt_interval(mins=F.lit(minutes)))
     dst = F.when(k.isin("named_zone", "local") & u.isNotNull(), F.when(wall(0) != lo, "nonexistent").when((wall(60) == lo) | (wall(30) == lo), "ambiguous"))
-    # "yesterday" names a day on the board's clock; the day it gives is that named day
-    day = F.when(k == "day", lo.cast("date")).when(k == "yesterday", F.when(F.col("_eve_local").isNotNull(), eve)).otherwise(u.cast("date"))
+    day = F.when(k == "day", lo.cast("date")).otherwise(u.cast("date"))
     zone_from = F.when(k.isin("epoch", "offset", "named_zone"), "text").when(k.isin("local", "yesterday"), F.when(F.col("_home").isNotNull(), "lookup")).when(k == "hours_ago", "fetch")
     made = F.struct(k.alias("kind"), u.alias("utc"), day.alias("day"), dst.alias("dst"), zone_from.alias("zone_from"))
     return _settle(step, **{out: made}).drop("_c", "_p", "_local", "_suffix", "_home", "_fetch", "_epoch", "_offset", "_zone", "_eve", "_eve_local", "_kind", "_utc")
