@@ -35,8 +35,8 @@ from notefold.functions.joins import merge_join
 SPACE = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 #: Least and greatest number of bits of a token bitmap; it has twice as many bits as the set has tokens, or more.
 LEAST_BITS, MOST_BITS = 512, 1 << 16
-#: Keys of a class, and minima in each: a pair of similarity 0.6 is missed once in 150, one of 0.65 once in 1 200, one of 0.7 once in 20 000.
-BANDS, ROWS = 36, 4
+#: Keys of a class, and minima in each: a pair of similarity 0.6 is missed once in 85, one of 0.65 once in 500, one of 0.7 once in 6 000.
+BANDS, ROWS = 32, 4
 #: Bits of a key, and of the shorter form by which keys are counted; a false match costs time, never a result.
 KEY_BITS, COUNT_BITS = 48, 40
 #: Children of a tree node.
@@ -192,7 +192,7 @@ def blocks(found: DataFrame, chunk: int) -> DataFrame:
     postings = signed.select("cls", F.explode("bands").alias("h"))
     short = F.shiftright("h", KEY_BITS - COUNT_BITS)
     count = postings.groupBy(short.alias("c")).agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    placed = merge_join(postings.withColumn("c", short), count, "c").select("cls", "h", "n").repartition("cls").groupBy("cls", "h").agg(F.max("n").alias("n"))
+    placed = merge_join(postings, count, short == F.col("c")).select("cls", "h", "n").repartition("cls").groupBy("cls", "h").agg(F.max("n").alias("n"))
     sets = signed.groupBy("cls").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
     at = merge_join(placed, sets, "cls")
     m = F.ceil(F.col("n") / F.lit(chunk)).cast("int")
@@ -245,11 +245,10 @@ def candidate_pairs(placed: DataFrame, similarity: float) -> DataFrame:
     return parts.select("h", "lo", "hi", "first", "cls", "size", "bits").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def bodies_of(pairs: DataFrame, members: DataFrame, long: DataFrame) -> DataFrame:
+def bodies_of(pairs: DataFrame, long: DataFrame) -> DataFrame:
     """(cls, t): one text of each class in a pair."""
     ids = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    one = merge_join(members, ids, "cls").groupBy("cls").agg(F.min(F.struct("field", "record_key")).alias("m")).select(F.col("cls").alias("_cls"), "m.field", "m.record_key")
-    return merge_join(long, one, ["field", "record_key"]).where(F.col("cls") == F.col("_cls")).groupBy("cls").agg(F.first("t").alias("t"))
+    return merge_join(long.groupBy("cls").agg(F.first("t").alias("t")), ids, "cls", "left_semi")
 
 
 def verified(pairs: DataFrame, bodies: DataFrame, similarity: float, width: int) -> DataFrame:
@@ -284,7 +283,7 @@ def near_copies(texts: DataFrame, similarity: float = 0.6, width: int = 5, least
     found = settle(signatures(long, width))
     members = found.select("field", "record_key", "cls").distinct()
     pairs = settle(candidate_pairs(blocks(found, chunk), similarity))
-    return members, verified(pairs, bodies_of(pairs, members, long), similarity, width)
+    return members, verified(pairs, bodies_of(pairs, long), similarity, width)
 
 
 def copies_found(texts: DataFrame) -> DataFrame:
