@@ -4,11 +4,15 @@ Structured entities (e-mail, phone, identity number, address) follow grammars
 over a *view* of the text in which markup, line wraps, full-width forms and
 invisible characters do not stand in the way; positions map back to the text.
 
-Names are decided by disclosure: for each candidate term the corpus tells how
-strongly it co-occurs with contexts that speak of a person, in bits above the
-rate at which any candidate does. A term above the threshold is a name wherever
-it stands; a company that happens to stand in such a context once is not. Terms
-are counted with partial aggregation and joined back, nothing is broadcast.
+Names are decided by disclosure. A term that stands in a context that speaks of a
+person somewhere is looked for in every text, in whatever context; how often it
+stands in such a context, against how often any candidate does, says how strongly
+it discloses a person, in bits. A term of half the possible disclosure or more is
+a name wherever it stands; a word that happens to stand in such a context once is
+not. Every mention of a name is replaced, cued or not. Uses are counted with
+partial aggregation and joined back; what is shipped is a bitmap of fixed size
+that spares the workers most terms nobody asked for. The structured kinds disclose
+by their form alone and have no terms.
 
 Defined results: null, empty and blank texts hold nothing and redact to
 themselves; repeated rows give one row; texts are read whole.
@@ -16,14 +20,18 @@ themselves; repeated rows give one row; texts are read whole.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 
+import numpy as np
 import regex as re
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notefold.functions.arrow import flat_map_batches
 from notefold.functions.checkpoint import settle
+from notefold.functions.joins import merge_join
 
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
@@ -73,8 +81,11 @@ AFTER = r"(?=[，,。.；;：:！!？?、（(\s]|$|同学|老师|女士|先生|
 #: Contexts that speak of a person, before the name.
 CUE_ZH = re.compile(rf"(?:联系人|收件人|感谢|多谢|谢谢|内推人|推荐人|介绍人|面试官(?:叫|是)|[Hh][Rr](?:叫|是|小姐姐)|同组的|同事|我叫|名叫|姓名|署名|经手人|负责人|导师|师兄|师姐|学长|学姐)(?:是|叫|为)?[：: ]{{0,2}}{_NAME}{AFTER}")
 TITLED_ZH = re.compile(rf"{_NAME}(?=同学|老师|女士|先生|小姐|经理)")
-#: A candidate in English: two capitalised words; contexts are read to its left and right.
-PLAIN_EN = re.compile(r"(?<![A-Za-z])(?=([A-Z][a-z]{1,20}(?:-[a-z]+)? [A-Z][a-z]{1,20}(?:-[a-z]+)?)(?![A-Za-z]))")
+#: Where a Chinese name can begin.
+SURNAME_AT = re.compile(rf"(?:{'|'.join(SURNAMES_2)}|[{SURNAMES_1}])(?=\p{{Han}})")
+_W = r"(?:[A-Z][’'])?[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]{1,20}(?:[-’'][A-Za-zÀ-ÖØ-öø-ÿ]{2,20})?"
+#: Candidates in English: two or three capitalised words, initials between them; contexts are read to left and right.
+PLAIN_EN = re.compile(rf"(?<![A-Za-zÀ-ÿ])(?=({_W}(?: [A-Z]\.){{0,2}} {_W})(?P<third> {_W})?(?![A-Za-zÀ-ÿ]))")
 CUE_LEFT = re.compile(
     r"(?:(?:interviewer|recruiter|manager|mentor|colleague|engineer|referrer|contact),? (?:is |was |named |called )?|(?:[Tt]hanks|[Tt]hank you|[Cc]redit|[Kk]udos) to |(?:[Aa]sk for|[Rr]each|[Cc]ontact:?|[Ee]mail|[Mm]essage|[Cc]all|[Mm]et|[Tt]ell|Dear|[Ww]rite to|[Tt]alk to|[Ss]peak (?:to|with)|referred by|signed by|named|[Nn]ame:|name is|I am|Mr\.?|Ms\.?|Mrs\.?|Dr\.?) )$"
 )
@@ -132,63 +143,129 @@ def structured(v: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def name_candidates(v: str) -> list[tuple[str, int, int, bool]]:
-    """(term, start, end, in a person context) of terms that may be names."""
-    found: dict[tuple[int, int], tuple[str, bool]] = {}
+def english(v: str):
+    """(term, start, end) of two-word and three-word candidates, at every place where one can begin."""
+    for m in PLAIN_EN.finditer(v):
+        s, e = m.span(1)
+        yield m.group(1), s, e
+        if m.group("third"):
+            yield v[s : m.end("third")], s, m.end("third")
+
+
+def key_of(term: str) -> str:
+    return term.replace("-", "") if term.isascii() else term
+
+
+def cued_names(v: str) -> list[tuple[str, int, int]]:
+    """(term, start, end) of candidates in a context that speaks of a person."""
+    found: dict[tuple[int, int], str] = {}
     for rx, g in NAME_RULES:
         for m in rx.finditer(v):
             span = m.span(g)
             if not any(s < span[1] and span[0] < e for s, e in found):
-                found[span] = (m.group(g), True)
-    for m in PLAIN_EN.finditer(v):
-        s, e = m.span(1)
-        cued = CUE_LEFT.search(v[max(0, s - 28) : s]) is not None or CUE_RIGHT.match(v, e) is not None
-        found[s, e] = (m.group(1).replace("-", ""), cued)
-    return [(term, s, e, cued) for (s, e), (term, cued) in found.items()]
+                found[span] = m.group(g)
+    for term, s, e in english(v):
+        if CUE_LEFT.search(v[max(0, s - 28) : s]) or CUE_RIGHT.match(v, e):
+            found[s, e] = key_of(term)
+    return [(term, s, e) for (s, e), term in found.items()]
+
+
+def uses(v: str, known) -> list[tuple[str, int, int]]:
+    """(term, start, end) of candidates for which ``known(term)`` holds, in any context, the longest at each place."""
+    found = []
+    if not v.isascii():
+        for m in SURNAME_AT.finditer(v):
+            s = m.start()
+            for n in (4, 3, 2):
+                term = v[s : s + n]
+                if len(term) == n and known(term):
+                    found.append((term, s, s + n))
+                    break
+    for term, s, e in english(v):
+        if known(key_of(term)):
+            found.append((key_of(term), s, e))
+    return found
+
 
+#: Numbers of bits of the filter of wanted terms; fixed, so its size is bounded.
+FILTER = 1 << 20
 
-def occurrences(texts: DataFrame) -> DataFrame:
-    """(field, record_key, kind, term, cued): structured kinds have no term, names one row a term."""
+
+def slot(term: str) -> int:
+    return xxhash.xxh64_intdigest(term) & (FILTER - 1)
+
+
+def cues(texts: DataFrame) -> DataFrame:
+    """(field, record_key, kind, term, n): structured kinds without a term, cued names with theirs, and of each batch how many candidates it has (kind null)."""
     def scan(fields, keys, column):
+        candidates = 0
         for f, k, text in zip(fields, keys, column):
             v, _, _ = view(text)
             for kind in {kind for kind, _, _ in structured(v)}:
-                yield f, k, kind, None, True
-            terms: dict[str, bool] = {}
-            for term, _, _, cued in name_candidates(v):
-                terms[term] = terms.get(term, False) or cued
-            for term, cued in terms.items():
-                yield f, k, "name", term, cued
+                yield f, k, kind, None, 1
+            for term in {term for term, _, _ in cued_names(v)}:
+                yield f, k, "name", term, 1
+            candidates += sum(1 for _ in SURNAME_AT.finditer(v)) + sum(1 for _ in PLAIN_EN.finditer(v))
+        yield None, None, None, None, candidates
+
+    return flat_map_batches(texts.select("field", "record_key", "text"), scan, "field string, record_key string, kind string, term string, n bigint")
+
+
+def mentions(texts: DataFrame, cued: DataFrame) -> DataFrame:
+    """(field, record_key, term): every record that mentions a term which is cued in some record."""
+    terms = cued.where(F.col("kind") == "name").select("term").distinct()
+    wanted = np.zeros(FILTER, bool)
+    bins = flat_map_batches(terms, lambda column: ((slot(t),) for t in column), "bin int").distinct().toArrow()
+    wanted[bins.column("bin").to_numpy()] = True
+
+    def scan(fields, keys, column):
+        for f, k, text in zip(fields, keys, column):
+            v, _, _ = view(text)
+            for term in {term for term, _, _ in uses(v, lambda t: wanted[slot(t)])}:
+                yield f, k, term
+
+    return flat_map_batches(texts.select("field", "record_key", "text"), scan, "field string, record_key string, term string")
+
 
-    return flat_map_batches(texts.select("field", "record_key", "text"), scan, "field string, record_key string, kind string, term string, cued boolean")
+def disclosure(cued: DataFrame, used: DataFrame) -> DataFrame:
+    """(term, n, n_cued, bits, share): how far a term raises the chance of a person context above any candidate's.
 
+    ``share`` is the part of the greatest possible disclosure, that of a term which
+    stands in person contexts alone.
+    """
+    counted = cued.where(F.col("kind") == "name").select("term", F.lit(1).alias("c"), F.lit(0).alias("u")).unionByName(used.select("term", F.lit(0).alias("c"), F.lit(1).alias("u")))
+    terms = counted.groupBy("term").agg(F.sum("c").alias("n_cued"), F.greatest(F.sum("u"), F.sum("c")).alias("n")).where(F.col("n_cued") > 0)
+    total = cued.agg(F.sum(F.when(F.col("kind") == "name", F.col("n"))).alias("c"), F.sum(F.when(F.col("kind").isNull(), F.col("n"))).alias("all")).first()
+    base = min(0.5, max(total["c"] or 1, 1) / max(total["all"] or 1, 1))
+    bits = F.log2(F.col("n_cued") / F.col("n") / F.lit(base))
+    return terms.select("term", "n", "n_cued", bits.alias("bits"), (bits / F.lit(-math.log2(base))).alias("share"))
 
-def disclosure(occ: DataFrame, prior: float = 1.0) -> DataFrame:
-    """(term, n, n_cued, bits): how much more often than any candidate a term stands in a person context."""
-    terms = occ.where(F.col("kind") == "name").groupBy("term").agg(F.count("*").alias("n"), F.sum(F.col("cued").cast("bigint")).alias("n_cued"))
-    base = terms.agg((F.sum("n_cued") / F.sum("n")).alias("base"))
-    rate = (F.col("n_cued") + prior * F.col("base")) / (F.col("n") + prior)
-    return terms.join(F.broadcast(base)).withColumn("bits", F.log2(rate / F.col("base"))).withColumn("rate", rate).drop("base")
 
+def named(texts: DataFrame, least_share: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Cue rows, and (field, record_key, term) of the mentions of terms whose disclosure reaches ``least_share`` of the possible.
 
-def names(occ: DataFrame, least_rate: float = 0.2) -> DataFrame:
-    """Terms whose disclosure is above the threshold: in a person context more often than ``least_rate``."""
-    return disclosure(occ).where((F.col("n_cued") > 0) & (F.col("rate") >= least_rate)).select("term")
+    A frequent name has many mentions, so terms are joined by sorting, which splits hot keys.
+    """
+    cued = settle(cues(texts))
+    used = settle(mentions(texts, cued).unionByName(cued.where(F.col("kind") == "name").select("field", "record_key", "term")).distinct())
+    known = disclosure(cued, used).where(F.col("share") >= least_share).select("term")
+    return cued, merge_join(used, known, "term", "left_semi")
 
 
 def personal_found(texts: DataFrame) -> DataFrame:
     """Distinct (field, record_key, kind)."""
-    occ = settle(occurrences(texts))
-    named = occ.where(F.col("kind") == "name").join(names(occ), "term", "left_semi").select("field", "record_key", "kind")
-    return occ.where(F.col("kind") != "name").select("field", "record_key", "kind").unionByName(named).distinct()
+    cued, names = named(texts)
+    return cued.where(F.col("kind") != "name").select("field", "record_key", "kind").unionByName(names.select("field", "record_key", F.lit("name").alias("kind"))).distinct()
 
 
 def redact(text: str | None, known: set[str] | None) -> str | None:
-    """The text with typed placeholders; ``known`` are the names of this text."""
+    """The text with typed placeholders; every mention of the names ``known`` is replaced."""
     if not text:
         return text
     v, at_view, at_text = view(text, True)
-    spans = structured(v) + [("name", s, e) for term, s, e, _ in name_candidates(v) if known and term in known]
+    spans = structured(v)
+    if known:
+        spans += [("name", s, e) for _, s, e in sorted(uses(v, known.__contains__) + [c for c in cued_names(v) if c[0] in known], key=lambda x: x[1] - x[2])]
     if not spans:
         return text
 
@@ -197,7 +274,7 @@ def redact(text: str | None, known: set[str] | None) -> str | None:
         return at_text[j] + i - at_view[j]
 
     parts, last = [], 0
-    for kind, s, e in sorted(spans, key=lambda x: x[1]):
+    for kind, s, e in sorted(spans, key=lambda x: (x[1], -x[2])):
         a, b = back(s), back(e - 1) + 1
         if a >= last:
             parts += [text[last:a], PLACEHOLDER[kind]]
@@ -207,11 +284,11 @@ def redact(text: str | None, known: set[str] | None) -> str | None:
 
 def redacted(texts: DataFrame) -> DataFrame:
     """(field, record_key, redacted) of every distinct text."""
-    occ = settle(occurrences(texts))
-    per = occ.where(F.col("kind") == "name").join(names(occ), "term", "left_semi").groupBy("field", "record_key").agg(F.collect_set("term").alias("terms"))
+    _, names = named(texts)
+    per = names.groupBy("field", "record_key").agg(F.collect_set("term").alias("terms"))
 
     def apply(fields, keys, column, terms):
         for f, k, text, t in zip(fields, keys, column, terms):
             yield f, k, redact(text, set(t) if t else None)
 
-    return flat_map_batches(texts.select("field", "record_key", "text").distinct().join(per, ["field", "record_key"], "left").select("field", "record_key", "text", "terms"), apply, "field string, record_key string, redacted string")
+    return flat_map_batches(merge_join(texts.select("field", "record_key", "text").distinct(), per, ["field", "record_key"], "left").select("field", "record_key", "text", "terms"), apply, "field string, record_key string, redacted string")

@@ -93,6 +93,17 @@ def test_names_and_redaction(spark):
     assert out["a"] == "联系人[NAME]，电话[PHONE]。" and out["b"] == "The interviewer, [NAME], smiled." and out["k1"] == "We like Ostrabay Labs a lot"
 
 
+def test_every_mention_of_a_name(spark):
+    """A name that is known from a person context is replaced where nothing beside it says so."""
+    rows = [("a", None, "感谢王小明。昨天王小明又来了"), ("b", None, "和王小明聊了很久，高可用也聊了"), ("c", None, "感谢高可用，让服务没挂"), *[(f"k{i}", None, "高可用系统的设计，高可用第几") for i in range(40)], ("d", None, "Thanks to Mary Ann O’Shea, and Zoë Lemaître. Mary Ann O’Shea left; I am José Álvarez."), ("e", None, "José Álvarez called")]
+    texts = lookalikes.texts_of(notes(spark, rows), ocr(spark, []))
+    assert {r.record_key for r in personal.personal_found(texts).collect() if r.kind == "name"} == {"a", "b", "d", "e"}
+    out = {r.record_key: r.redacted for r in personal.redacted(texts).collect()}
+    assert out["a"] == "感谢[NAME]。昨天[NAME]又来了" and out["b"] == "和[NAME]聊了很久，高可用也聊了" and out["c"] == "感谢高可用，让服务没挂"
+    assert out["d"] == "Thanks to [NAME], and Zoë Lemaître. [NAME] left; I am [NAME]." and out["e"] == "[NAME] called"
+    assert personal.personal_found(lookalikes.texts_of(notes(spark, []), ocr(spark, []))).count() == 0
+
+
 # ---- problem 10 ----
 CLEAN = ["面试官先翻到简历里的推荐服务，问缓存雪崩和锁升级怎么配合。" * 2, "Nach 9 Minuten wurde die Lösung für größere Einträge überprüft.", "Потом разговор зашёл про кэш, и мы считали нагрузку на узлов.", "We spent an hour in a café near the office, it’s naïve — really."] * 300
 
