@@ -85,8 +85,9 @@ LEAD = {e: {PAGE[e][b] for b in range(0xC2, 0xF5)} for e in UTF8_AS}
 CONT = {e: {PAGE[e][b] for b in range(0x80, 0xC0)} | ({chr(b) for b in range(128, 160)} if e in ("cp1252", "cp1251", "cp1250") else set()) for e in UTF8_AS}
 HIGH = {e: set(PAGE[e].values()) for e in PAGE}
 HAN = re.compile("[一-鿿].*[一-鿿]", re.S)
-#: Han characters that the two bytes of an accented Latin letter make, beside a Latin letter.
-GBK_LETTER = re.compile("(?:(?<=[A-Za-z ,'])(?P<c>[" + "".join(sorted({x for c in range(0xC0, 0x180) if len(x := chr(c).encode().decode("gb18030", "ignore")) == 1})) + "])(?=[a-z ,.]))")
+#: Han characters that the two bytes of an accented Latin letter make, and such a one beside a Latin letter.
+GBK_LETTERS = {x for c in range(0xC0, 0x180) if len(x := chr(c).encode().decode("gb18030", "ignore")) == 1}
+GBK_LETTER = re.compile("(?:(?<=[A-Za-z ,'])(?P<c>[" + "".join(sorted(GBK_LETTERS)) + "])(?=[a-z ,.]))")
 UTF8_RUN = {e: _utf8_pattern(e) for e in UTF8_AS}
 NOT_HAN = re.compile("[\x80-\u2dff\ufffd]")
 HAN_RUN = re.compile("[\u2e80-\U0003ffff\ufffd\u2000-\u22ff\u3000-\u30ff]{3,}")
@@ -180,6 +181,22 @@ def codes_of(text: str) -> np.ndarray:
 
 # ---- the language model ---------------------------------------------------
 
+def _marked(chars: set[str]) -> np.ndarray:
+    table = np.zeros(1 << 16, bool)
+    table[[ord(c) for c in chars if ord(c) < 1 << 16]] = True
+    return table
+
+
+#: The same by code point: what can begin and go on a group of UTF-8 bytes in a page, and a page's upper half.
+LEADS, CONTS = {e: _marked(x) for e, x in LEAD.items()}, {e: _marked(x) for e, x in CONT.items()}
+UPPERS = {w: _marked(HIGH[w]) for w in DENSE}
+
+
+def groups_in(a: np.ndarray) -> list[str]:
+    """Pages in which some two characters in a row may be the first bytes of a group of UTF-8."""
+    return [e for e in UTF8_AS if (LEADS[e][a[:-1]] & CONTS[e][a[1:]]).any()]
+
+
 #: Letters and signs of a page's upper half; punctuation that every script uses is none.
 STRANGE = CHANGES & (KIND != 0)
 #: Least length of a run of well-formed UTF-8 that is no accident, by the page it was read in.
@@ -195,17 +212,21 @@ for _lead in range(0xE3, 0xEA):
             UTF8_IN_GBK[ord(_c)] = True
 
 
+LETTER_IN_GBK = _marked(GBK_LETTERS)
+MADE = STRANGE | UTF8_IN_GBK
+MADE[0xFFFD] = True
+
+
 def reading(text: str) -> str:
     """What a text says by its structure alone; parts that several swaps mend equally are left out."""
     if text.isascii():
         return text
-    if int(STRANGE[np.minimum(codes_of(text), 0xFFFF)].sum()) >= 2:
-        signs = set(text)
-        for enc, rx in UTF8_RUN.items():
-            if not signs.isdisjoint(LEAD[enc]) and not signs.isdisjoint(CONT[enc]):
-                text = rx.sub(lambda m, enc=enc: (peel(m.group(0), enc) or m.group(0)) if len(m.group(0)) >= NO_ACCIDENT.get(enc, 6) else m.group(0), text)
+    a = np.minimum(codes_of(text), 0xFFFF)
+    if int(STRANGE[a].sum()) >= 2:
+        for enc in groups_in(a):
+            text = UTF8_RUN[enc].sub(lambda m, enc=enc: (peel(m.group(0), enc) or m.group(0)) if len(m.group(0)) >= NO_ACCIDENT.get(enc, 6) else m.group(0), text)
         for name, w, r in MULTI:
-            if w in DENSE and r == "gb18030" and not signs.isdisjoint(HIGH[w]):
+            if w in DENSE and r == "gb18030" and int((UPPERS[w][a[:-1]] & UPPERS[w][a[1:]]).sum()) >= 3:
                 text = DENSE[w].sub(lambda m, w=w, r=r: _dense(m.group(0), w, r), text)
         a = np.minimum(codes_of(text), 0xFFFF)
         at = np.flatnonzero(CHANGES[a[:-1]] | CHANGES[a[1:]]) if len(a) > 1 else ()
@@ -219,9 +240,7 @@ def reading(text: str) -> str:
                     equal = np.flatnonzero(mended <= best + ODD)
                     text = text.translate(CIPHER[SINGLE[equal[0]][0]]) if len(equal) == 1 else "".join(" " if c > "\x7f" and STRANGE[min(ord(c), 0xFFFF)] else c for c in text)
         a = np.minimum(codes_of(text), 0xFFFF)
-    else:
-        a = np.minimum(codes_of(text), 0xFFFF)
-    return HAN_RUN.sub(lambda m: _from_gbk(m.group(0)) or m.group(0), text) if int(UTF8_IN_GBK[a].sum()) >= 3 else text
+    return HAN_RUN.sub(lambda m: _from_gbk(m.group(0)) or m.group(0), text) if 200 * int(UTF8_IN_GBK[a].sum()) > max(600, len(a)) else text
 
 
 def _dense(run: str, w: str, r: str) -> str:
@@ -344,10 +363,23 @@ def decipher(text: str, lm: np.ndarray) -> list[tuple[int, int, str, float, str
             quoted = [m.span() for m in QUOTES.finditer(text)]
         return any(p <= s and e <= q for p, q in quoted)
 
-    b, high = bins_of(text)
-    likely = lm[b]
-    low = np.flatnonzero(high & (likely < -LOW))
+    a = np.minimum(codes_of(text), 0xFFFF)
+    # what garble is made of: signs of a page, Han that UTF-8 makes, Han between Latin letters
+    marked = MADE[a]
+    between = np.flatnonzero(LETTER_IN_GBK[a[1:]] & (a[:-1] < 128)) + 1
+    marked[between] = True
+    marked = np.flatnonzero(marked)
+    low = ()
+    if len(marked):
+        b, high = bins_of(text)
+        likely = lm[b]
+        low = np.flatnonzero(high & (likely < -LOW))
     if len(low):
+        cuts = np.flatnonzero(np.diff(low) > GAP)
+        los, his = np.maximum(low[np.concatenate([[0], cuts + 1])] - 8, 0), np.minimum(low[np.concatenate([cuts, [len(low) - 1]])] + 10, len(text))
+        sizes = np.diff(np.concatenate([[0], cuts + 1, [len(low)]]))
+        worth = np.searchsorted(marked, los) < np.searchsorted(marked, his)
+    if len(low) and worth.any():
         sums = np.concatenate([[0.0], np.where(high, likely, 0.0).cumsum(dtype=np.float64)])
         highs = np.concatenate([[0], high.cumsum()])
 
@@ -355,20 +387,17 @@ def decipher(text: str, lm: np.ndarray) -> list[tuple[int, int, str, float, str
             n = int(highs[q - 1] - highs[p]) if q > p else 0
             return (float(sums[q - 1] - sums[p]) / n if n else 0.0), n
 
-        a = np.minimum(codes_of(text), 0xFFFF)
         free = np.ones(len(a), bool)
-        cuts = np.flatnonzero(np.diff(low) > GAP) + 1
-        for part in np.split(low, cuts):
-            lo, hi = max(0, int(part[0]) - 8), min(len(text), int(part[-1]) + 10)
-            sub = text[lo:hi]
-            if NOT_HAN.search(sub):
+        for lo, hi, size in zip(los[worth].tolist(), his[worth].tolist(), sizes[worth].tolist()):
+            sub, near = text[lo:hi], a[lo:hi]
+            if STRANGE[near].any():
                 signs = set(sub)
-                for enc, rx in UTF8_RUN.items():
-                    if signs.isdisjoint(LEAD[enc]) or signs.isdisjoint(CONT[enc]):
-                        continue
-                    for m in rx.finditer(sub):
-                        was = peel(m.group(0), enc)
+                for enc in groups_in(near):
+                    for m in UTF8_RUN[enc].finditer(sub):
                         s, e = lo + m.start(), lo + m.end()
+                        if not free[s:e].any():
+                            continue
+                        was = peel(m.group(0), enc)
                         if was is None or in_quotes(s, e):
                             continue
                         p, q = max(0, s - 1), min(len(text), e + 1)
@@ -377,7 +406,7 @@ def decipher(text: str, lm: np.ndarray) -> list[tuple[int, int, str, float, str
                         if sure or gain > 0.5 or (m.group(0)[0] in "ÃÂâ" and gain > -0.5):
                             found.append((s, e, f"utf8_as_{enc}", max(gain, 3.0 if sure else 0.1) * (e - s), was))
                             free[max(0, s - 1) : e] = False
-                if len(part) > 1 and free[lo:hi].any():
+                if size > 1 and free[lo:hi].any():
                     for s, e, name, gain in by_letters(text, a, lo, hi, free, lm):
                         if not in_quotes(s, e):
                             found.append((s, e, name, gain, text[s:e].translate(CIPHER[name])))
@@ -396,7 +425,8 @@ def decipher(text: str, lm: np.ndarray) -> list[tuple[int, int, str, float, str
                             gain = mean_of(part_was, lm)[0] - base
                             if gain > (0.7 if was else 1.5) and not in_quotes(lo + m.start(), lo + m.end()):
                                 found.append((lo + m.start(), lo + m.end(), name, gain * n, was))
-            for m in HAN_RUN.finditer(sub):
+            strange_han = int(UTF8_IN_GBK[near].sum())
+            for m in HAN_RUN.finditer(sub) if strange_han > 1 or "\ufffd" in sub else ():
                 run = m.group(0)
                 base, n = as_it_is(lo + m.start(), lo + m.end())
                 if base > -HAN_DOUBT or not HAN.search(run):
@@ -408,7 +438,7 @@ def decipher(text: str, lm: np.ndarray) -> list[tuple[int, int, str, float, str
                     s, e = lo + m.start(), lo + m.end()
                     if gain > 0.3 and not in_quotes(s, e):
                         found.append((s, e, "utf8_as_gbk", gain * n, transcode(run, "gb18030", "utf-8") if "\ufffd" not in run else None))
-            for m in GBK_LETTER.finditer(sub):
+            for m in GBK_LETTER.finditer(sub) if len(between) else ():
                 s, e = lo + m.start(), lo + m.end()
                 was = transcode(m.group(0), "gb18030", "utf-8")
                 if was:
@@ -482,6 +512,12 @@ class Ciphers:
 
     def weigh(self, group: int, before: str, garbled: str, after: str, options: list[dict], lm: np.ndarray, learn=None) -> tuple[str, float, str | None]:
         """The likeliest (swap, posterior, restored) of a passage; ``learn`` is told the expected letters."""
+        if not any(o["swap"] in INDEX for o in options):
+            ranked = [(o["gain"] + self.share(group, o["swap"]), o["swap"], o["restored"]) for o in options]
+            if all(o["swap"] != LOST_BYTES for o in options):
+                ranked.append((self.share(group, AS_IS), AS_IS, None))
+            score, swap, was = max(ranked, key=lambda r: r[0])
+            return swap, 1.0 / sum(math.exp(r[0] - score) for r in ranked), was
         whole = np.minimum(codes_of(before + garbled + after), 0xFFFF).astype(np.int64)
         first, last = len(before), len(before) + len(garbled)
         scores, texts, made = [], [], []
