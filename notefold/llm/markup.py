@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notefold.functions.arrow import flat_map_batches
+from notefold.functions.checkpoint import settle
+from notefold.functions.joins import merge_join
 
 #: Element names of HTML.
 TAGS = "a abbr address article aside audio b blockquote body br button canvas caption center cite code col colgroup dd del details div dl dt em embed fieldset figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main map mark meta nav noscript object ol optgroup option p param path picture pre q s samp script section select small source span strike strong style sub summary sup svg table tbody td template textarea tfoot th thead time title tr tt u ul var video wbr"
@@ -40,31 +42,31 @@ GRAMMARS: dict[str, dict[str, str]] = {
         "fence": r"^[ \t]*(?:```|~~~(?!~))[ \t]*[\w+#.-]*[ \t]*$",
         "heading": r"^[ \t]{0,3}#{1,6}[ \t]+(?=\S)",
         "table": r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)+\|?[ \t]*$",
-        "image_link": r"!?\[[^\[\]\n]{0,200}\]\s?\((?:[^()\s]|\n){1,300}(?:\s\"[^\"\n]*\")?\)|!\[[^\[\]\n]{0,80}\]",
+        "image_link": r"!?\[[^\[\]\n]*+\]\s?\((?:[^()\s]|\n(?!\n)|\([^()\s]*+\))++(?:\s\"[^\"\n]*\")?\)|!\[[^\[\]\n]*+\]",
         "task": r"^[ \t]*[-*+] \[[ xX]\] ",
         "quote": r"^>{1,3} +(?=\S)",
-        "bold": r"(?<![\d*/])\*\*(?=[^\s*])(?:[^*\n]|\n(?!\n)){1,200}?(?<=[^\s*])\*\*(?![\d*])|(?<![A-Za-z0-9_*])__(?=[^\s_])(?![a-z0-9]+__)[^_\n]{1,120}?__(?![A-Za-z0-9_])",
-        "strike": r"~~(?=[^\s~])(?:[^~\n]|\n(?!\n)){1,200}?~~(?!~)",
-        "code": r"(?<!`)`(?!`)(?:[^`\n]|\n(?!\n)){1,200}`(?!`)",
-        "emphasis": r"(?<![A-Za-z0-9*/])\*(?=[^\s*])(?:[^*\n]|\n(?!\n)){1,120}?(?<=\S)\*(?![A-Za-z0-9*/])",
+        "bold": r"(?<![\d*/])\*\*(?=[^\s*])(?:[^*\n]|\n(?!\n))+?(?<=[^\s*])\*\*(?![\d*])|(?<![A-Za-z0-9_*])__(?=[^\s_])(?![a-z0-9]+__)[^_\n]+?__(?![A-Za-z0-9_])",
+        "strike": r"~~(?=[^\s~])(?:[^~\n]|\n(?!\n))+?~~(?!~)",
+        "code": r"(?<!`)`(?!`)(?:[^`\n]|\n(?!\n))++`(?!`)",
+        "emphasis": r"(?<![A-Za-z0-9*/])\*(?=[^\s*])(?:[^*\n]|\n(?!\n))+?(?<=\S)\*(?![A-Za-z0-9*/])",
         "bullet": r"^[ \t]*[-+] (?=\S)(?!\d+ -\s*$)",
         "left_bold": r"(?<![\d*/ ])\*\*(?![\d*/ ])|`{3}",
         "rule": r"^(?:-{3,}|\*{3,})[ \t]*$",
     },
     "wiki": {
-        "link": r"\[\[(?:[^\[\]\n]|\n(?!\n)){1,200}?\]\]|\[\[(?=[^\s\[\]])|(?<=[^\s\[\]])\]\]",
+        "link": r"\[\[(?:[^\[\]\n]|\n(?!\n))++\]\]|\[\[(?=[^\s\[\]])|(?<=[^\s\[\]])\]\]",
         "external": r"\[https?://[^\s\[\]]+(?:\s[^\[\]\n]*)?\]",
         "heading": r"^[ \t]*(?P<marks>={2,6})[ \t]*[^=\n]+?[ \t]*(?P=marks)[ \t]*$",
         "quote": r"(?<!')'{2,3}(?!')",
         "table": r"^[ \t]*(?:\{\|(?!\|)|\|\}(?!\})|\|-[ \t]*$|![^!\n]+!!)|^[ \t]*\|[^|\n]*\|\|",
-        "template": r"\{\{[A-Za-z][^{}|\n]{0,40}\|[^{}]{0,200}\}\}",
+        "template": r"\{\{[A-Za-z][^{}|\n]*+\|[^{}]*+\}\}",
         "ref": r"</?ref(?:\s[^<>]*)?/?>|</?nowiki>|__(?:TOC|NOTOC|FORCETOC)__|~~~~|#REDIRECT",
     },
     "latex": {
         "environment": r"\\(?:begin|end)\s?\{[a-zA-Z]+\*?\}",
         "command": r"\\[a-zA-Z]+\*?(?:\[[^\[\]\n]*\])?\{",
         "bare": r"\\(?:" + "|".join(COMMANDS.split()) + r")(?![A-Za-z])",
-        "math": r"\$\$(?=[^$])(?:[^$\n]|\n(?!\n)){1,300}\$\$|\$(?=[^\s$\d{A-Z]|[A-Z]\()(?:[^$\n\p{Han}]|\n(?!\n)){0,200}?[\\^_{}=<>](?:[^$\n\p{Han}]|\n(?!\n)){0,200}?\$(?!\d)|\\\((?s:.{1,300}?)\\\)|\\\[(?s:.{1,300}?)\\\]",
+        "math": r"\$\$(?=[^$])(?:[^$\n]|\n(?!\n))++\$\$|\$(?=[^\s$\d{A-Z]|[A-Z]\()(?:[^$\n\p{Han}\\^_{}=<>]|\n(?!\n))*+[\\^_{}=<>](?:[^$\n\p{Han}]|\n(?!\n))*+\$(?!\d)|\\\((?:(?!\\[()]|\n\n)(?s:.))++\\\)|\\\[(?:(?!\\[\[\]]|\n\n)(?s:.))++\\\]",
         "tie": r"~\\(?:ref|cite|eqref)",
     },
 }
@@ -153,42 +155,65 @@ def pages_of(notes: DataFrame, ocr: DataFrame) -> DataFrame:
     return a.unionByName(b).where(F.col("text").isNotNull() & F.col("record_key").isNotNull())
 
 
-def markup_nodes(pages: DataFrame) -> DataFrame:
-    """(field, record_key, kind, n): how many nodes of each kind a text has."""
-    def scan(fields, keys, texts):
-        for f, k, text in zip(fields, keys, texts):
-            counts: dict[str, int] = {}
-            for kind, _, _ in nodes(text):
-                counts[kind] = counts.get(kind, 0) + 1
-            for kind, n in counts.items():
-                yield f, k, kind, n
+def dom(text: str | None) -> list[tuple[str, str, str, str, int, int]]:
+    """(kind, path, presentation, content, start, end) of each node of a text's document tree.
 
-    return flat_map_batches(pages.select("field", "record_key", "text"), scan, "field string, record_key string, kind string, n int")
+    HTML elements nest; the nodes of the other languages, and HTML's entities,
+    comments and cut tags, hang below the root by kind and type. Presentation is
+    the names of an element's children or the marks of a node without its words,
+    content the words.
+    """
+    found = [("html", *e) for e in elements(text)]
+    return found + [(kind, f"{kind}:{name}", WORDS.sub("", source), " ".join(WORDS.findall(source)), -1, -1) for kind, name, source in nodes(text) if name != "tag" or not found]
+
+
+WORDS = re.compile(r"[\p{L}\p{N}]+")
+
+
+def site_nodes(pages: DataFrame) -> DataFrame:
+    """(field, record_key, host, kind, path, shown, content): the nodes of every text's tree, before they are merged."""
+    def scan(fields, keys, hosts, texts):
+        for f, k, host, text in zip(fields, keys, hosts, texts):
+            for kind, path, shown, content, _, _ in dom(text):
+                yield f, k, host, kind, path, hash_of(shown), hash_of(content)
+
+    return flat_map_batches(pages.select("field", "record_key", "host", "text"), scan, "field string, record_key string, host string, kind string, path string, shown bigint, content bigint")
 
 
 def markup_found(pages: DataFrame) -> DataFrame:
-    return markup_nodes(pages).select("field", "record_key", "kind").distinct()
+    """Distinct (field, record_key, kind): texts with a node of the site tree's; one leftover counts, important or not."""
+    return site_nodes(pages).select("field", "record_key", "kind").distinct()
+
+
+#: Weight by which a node's own presentations fade against its children, for each presentation more.
+FADE = 0.9
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
     """(host, path, pages, importance) of the merged trees.
 
-    Importance is the larger of the normalised entropies of a path's
-    presentations and contents over the pages of its host: near 0 where every
-    page shows the same, 1 where all differ. All counts are grouped sums with
-    partial aggregation, so a host with most of the pages is no hot task.
+    The entropy of a node's presentations over the pages of its host, and for a
+    leaf of its contents, is near 0 where every page shows the same and 1 where all
+    differ. An inner node weighs its own entropy against its children's importance,
+    the children more the fewer presentations it has; importance is passed up
+    level by level. All counts are grouped sums with partial aggregation, so a
+    host with most of the pages is no hot task.
     """
-    def scan(hosts, texts):
-        for host, text in zip(hosts, texts):
-            for path, shown, content, _, _ in elements(text):
-                yield host, path, "p", hash_of(shown)
-                yield host, path, "c", hash_of(content)
-
-    feats = flat_map_batches(pages.select("host", "text"), scan, "host string, path string, what string, h bigint")
+    feats = site_nodes(pages).select("host", "path", F.explode(F.array(F.struct(F.lit("p").alias("what"), F.col("shown").alias("h")), F.struct(F.lit("c").alias("what"), F.col("content").alias("h")))).alias("f")).select("host", "path", "f.*")
     counts = feats.groupBy("host", "path", "what", "h").count()
-    per = counts.groupBy("host", "path", "what").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.log("count")).alias("clogc"))
+    per = counts.groupBy("host", "path", "what").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.log("count")).alias("clogc"), F.count("*").alias("kinds"))
     entropy = F.when(F.col("n") > 1, (F.log("n") - F.col("clogc") / F.col("n")) / F.log("n")).otherwise(F.lit(1.0))
-    return per.withColumn("e", entropy).groupBy("host", "path").agg(F.max("n").alias("pages"), F.max("e").alias("importance"))
+    own = per.withColumn("e", entropy).groupBy("host", "path").agg(F.max("n").alias("pages"), F.max(F.when(F.col("what") == "p", F.col("e"))).alias("shown"), F.max(F.when(F.col("what") == "c", F.col("e"))).alias("content"), F.max(F.when(F.col("what") == "p", F.col("kinds"))).alias("kinds"))
+    own = settle(own.withColumn("depth", F.size(F.split("path", "/"))).withColumn("parent", F.regexp_replace("path", "/[^/]*$", "")))
+    deepest = own.agg(F.max("depth")).first()[0] or 0
+    done = own.where(F.col("depth") == deepest).withColumn("importance", F.col("content"))
+    level = done
+    for depth in range(deepest - 1, 0, -1):
+        below = level.groupBy("host", F.col("parent").alias("path")).agg((F.sum(F.col("importance") * F.col("pages")) / F.sum("pages")).alias("inner"))
+        fade = F.pow(F.lit(FADE), F.col("kinds"))
+        level = merge_join(own.where(F.col("depth") == depth), below, ["host", "path"], "left").withColumn("importance", F.when(F.col("inner").isNull(), F.col("content")).otherwise((1 - fade) * F.col("shown") + fade * F.col("inner"))).drop("inner")
+        done = done.unionByName(level)
+    return done.select("host", "path", "pages", "importance")
 
 
 def hash_of(s: str) -> int:
@@ -273,12 +298,35 @@ def clean(text: str | None, cut: set[str] | None = None) -> str | None:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", text)).strip("\n")
 
 
+#: Most rows of (host, path) that are shipped to the workers as they are; beyond, they are joined.
+FEW = 100_000
+
+
 def clean_texts(pages: DataFrame, low: float = 0.2, least_pages: int = 20) -> DataFrame:
-    """(field, record_key, clean): every text rendered, unimportant branches of its host cut."""
-    cut = style_tree(pages).where((F.col("importance") < low) & (F.col("pages") >= least_pages)).groupBy("host").agg(F.collect_set("path").alias("cut"))
+    """(field, record_key, clean): every text rendered, unimportant branches of its host cut.
 
-    def render(fields, keys, texts, cuts):
+    A path is cut when its importance is below ``low`` over ``least_pages`` pages or
+    more. The cut paths come to the texts, whole texts are not gathered by host:
+    up to FEW of them with the function, more by a join in which hosts are salted.
+    """
+    cut = style_tree(pages).where((F.col("importance") < low) & (F.col("pages") >= least_pages)).select("host", "path")
+    rows = cut.limit(FEW + 1).collect()
+    if len(rows) <= FEW:
+        paths: dict[str, set[str]] = {}
+        for r in rows:
+            paths.setdefault(r.host, set()).add(r.path)
+
+        def render(fields, keys, hosts, texts):
+            for f, k, host, text in zip(fields, keys, hosts, texts):
+                yield f, k, clean(text, paths.get(host))
+
+        return flat_map_batches(pages.select("field", "record_key", "host", "text"), render, "field string, record_key string, clean string")
+    salts = 64
+    per = cut.groupBy("host").agg(F.collect_set("path").alias("cut")).select("host", "cut", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    salted = pages.withColumn("salt", F.pmod(F.xxhash64("record_key"), F.lit(salts)).cast("int"))
+
+    def render_joined(fields, keys, texts, cuts):
         for f, k, text, c in zip(fields, keys, texts, cuts):
             yield f, k, clean(text, set(c) if c else None)
 
-    return flat_map_batches(pages.join(cut, "host", "left").select("field", "record_key", "text", "cut"), render, "field string, record_key string, clean string")
+    return flat_map_batches(merge_join(salted, per, ["host", "salt"], "left").select("field", "record_key", "text", "cut"), render_joined, "field string, record_key string, clean string")
