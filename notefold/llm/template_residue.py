@@ -1,8 +1,9 @@
 """Template residue, filler and error-page text (problem 3).
 
 Placeholders are found by one grammar per delimiter. A placeholder is let off
-when its context is code or talk about templates; a title or body that
-*consists* of filler, an error message or a notice is judged by its parts.
+when its context is code or talk about templates, or when most placeholders of
+its delimiter are; a title or body that *consists* of filler, an error message or
+a notice is judged by its parts.
 
 Defined results: null and blank fields give no row; repeated rows give one row;
 texts are read whole, whatever their length.
@@ -10,6 +11,8 @@ texts are read whole, whatever their length.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +44,8 @@ SQUARE_CASE = re.compile(r"(?<![\[\p{L}\d\]!\\])\[(?:" + ASK_EN + r"\b[^\[\]\n]{
 CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]+`|<(code|pre)\b[^>]*>.*?</\1>|\\begin\{(verbatim|lstlisting)\}.*?\\end\{\2\}", re.S | re.I)
 #: Words by which a sentence talks about templates or shells.
 TALK = re.compile(r"模板引擎|插值|占位符|字符串格式化|shell|printf|Jinja|Vue|Mustache|Handlebars|template engine|interpolat|f-string|env(?:ironment)? var|环境变量|compiled", re.I)
-SENTENCE = re.compile(r"[^。！？!?\n]*[。！？!?\n]?")
+#: Ends of a sentence.
+STOP = re.compile(r"[。！？!?\n]|\.(?=\s)")
 
 #: Messages of a failed page.
 ERRORS = [
@@ -79,13 +83,10 @@ LATIN_SENTENCE = re.compile(r"(?:[A-Z]?[a-z]{2,}[,.]?\s+){3,}[A-Z]?[a-z]{2,}[.!?
 NOT_WORD = re.compile(r"[\W_]+")
 
 
-def periodic(text: str, longest: int = 16) -> bool:
-    """Whether the letters of the text are one unit of up to ``longest`` characters, twice or more."""
+def periodic(text: str) -> bool:
+    """Whether the letters of the text are one unit, twice or more."""
     s = NOT_WORD.sub("", text)
-    if len(s) < 4:
-        return False
-    i = (s + s).find(s, 1)
-    return i < len(s) and i <= longest and len(s) // i >= 2
+    return len(s) >= 4 and (s + s).find(s, 1) < len(s)
 
 
 def pseudo_latin(text: str, known: frozenset[str] = frozenset()) -> bool:
@@ -123,28 +124,40 @@ def consists_of(text: str) -> str | None:
 
 
 def placeholders(text: str) -> list[str]:
-    """Unfilled placeholders of the text, without those in code or in talk about templates."""
+    """Unfilled placeholders of the text, without those that it talks about.
+
+    A placeholder in code, or in a sentence that talks about templates, is let off.
+    Density decides about the others: where half or more of the placeholders of one
+    delimiter are let off, the text is about that delimiter, a tutorial, and the
+    rest of them are let off too.
+    """
     if not any(c in text for c in "{}[]<>@%【"):
         return []
-    found = list(PLACEHOLDER.finditer(text))
+    found = [(m.lastgroup, m) for m in PLACEHOLDER.finditer(text)]
     if "[" in text:
-        found += list(SQUARE_CASE.finditer(text))
+        found += [("square", m) for m in SQUARE_CASE.finditer(text)]
     if not found:
         return []
     spans = [m.span() for m in CODE.finditer(text)] if ("`" in text or "<" in text or "\\begin" in text) else []
-    kept = []
-    for m in found:
+    talk = [m.start() for m in TALK.finditer(text)]
+    stops = [m.start() for m in STOP.finditer(text)] if talk else []
+    kept: list[tuple[str, str]] = []
+    off: dict[str, int] = {}
+    for delimiter, m in found:
         s, e = m.span()
         inner = m.group(0)
-        if any(a <= s < b for a, b in spans) or inner[1:-1] in MARKS:
-            continue
-        a = max(text.rfind(c, 0, s) for c in "。！？!?\n") + 1
-        ends = [i for i in (text.find(c, e) for c in "。！？!?\n") if i >= 0]
-        around = text[max(a, s - 80) : s] + " " + text[e : min(min(ends, default=len(text)), e + 80)]
-        if TALK.search(around):
+        if inner[1:-1] in MARKS:
             continue
-        kept.append(inner)
-    return kept
+        i, j = bisect_left(stops, s), bisect_left(stops, e)
+        a, b = stops[i - 1] + 1 if i else 0, stops[j] if j < len(stops) else len(text)
+        if any(p <= s < q for p, q in spans) or any(a <= t < b and not s <= t < e for t in talk[bisect_left(talk, a) : bisect_left(talk, b)]):
+            off[delimiter] = off.get(delimiter, 0) + 1
+        else:
+            kept.append((delimiter, inner))
+    left: dict[str, int] = {}
+    for delimiter, _ in kept:
+        left[delimiter] = left.get(delimiter, 0) + 1
+    return [inner for delimiter, inner in kept if off.get(delimiter, 0) < left[delimiter]]
 
 
 def residue(text: str | None) -> list[tuple[str, str]]:

@@ -36,6 +36,13 @@ def test_residue_of_a_long_text():
     assert [k for k, _ in template_residue.residue(page)] == ["notice"]
 
 
+def test_residue_by_density():
+    tutorial = "Jinja 里写 {{ user }} 就行。\n`{{ name }}` 也一样。\n再看 {{ title }}。"
+    assert template_residue.residue(tutorial) == [] and template_residue.residue(tutorial + "\n公司：[公司名称]") == [("placeholder", "[公司名称]")]
+    assert template_residue.residue("岗位 {{role}}，公司 {{company}}，见 `{{x}}`")[0] == ("placeholder", "{{role}}")
+    assert [k for k, _ in template_residue.residue("这里是一段很长的示例文字，用来占位，没有意义。" * 12)] == ["filler"]
+
+
 def test_residue_tables(spark):
     rows = [("a", "404 Not Found", "ok"), ("a", "404 Not Found", "ok"), ("b", None, None), ("c", "好", "正常的正文内容")]
     assert [tuple(r) for r in template_residue.residue_found(notes(spark, rows)).collect()] == [("a", "title")]
@@ -65,6 +72,20 @@ def test_markup_kinds(text, kinds):
     assert {k for k, _, _ in markup.nodes(text)} == kinds
 
 
+def test_markup_of_any_length():
+    link = "[说明](https://h.example/" + "a/" * 300 + "b_(c))"
+    assert [k for k, _, _ in markup.nodes("见 " + link)] == ["markdown"] and [k for k, _, _ in markup.nodes("`" + "x = 1; " * 100 + "`")] == ["markdown"]
+    assert [k for k, _, _ in markup.nodes("$" + "a+" * 200 + "b_{1}$")] == ["latex"] and markup.nodes("`" + "没有结尾" * 50_000) == []
+
+
+def test_importance_is_passed_up(spark):
+    """The frame of a page shows the same children everywhere and is kept for what stands in it."""
+    pages = [(f"n{i}", None, f"<div><nav><a>首页</a></nav><p>正文 {i}</p></div>") for i in range(30)]
+    tree = {r.path: r.importance for r in markup.style_tree(markup.pages_of(notes(spark, pages), ocr(spark, []))).collect()}
+    assert tree["div/nav"] < 0.2 and tree["div/nav/a"] < 0.2 and tree["div/p"] > 0.9 and tree["div"] > 0.3
+    assert markup.style_tree(markup.pages_of(notes(spark, []), ocr(spark, []))).count() == 0
+
+
 def test_markup_cleaning(spark):
     assert markup.clean("<h2>题</h2><ul><li>一</li><li>二 &amp; 三</li></ul><pre>x = 1</pre>") == "## 题\n\n- 一\n- 二 & 三\n\n```\nx = 1\n```"
     assert markup.clean("== 节 ==\n[[甲|乙]]与'''丙'''") == "## 节\n乙与丙"
