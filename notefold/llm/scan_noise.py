@@ -60,6 +60,13 @@ LINE_HYPHEN = re.compile(r"[-‐‑¬][ \t]*\n")
 SPLIT_WORD = re.compile(r"([A-Za-zÀ-ÿœ0-9@]+)([-‐‑¬])[ \t]*\n[ \t]*([A-Za-zÀ-ÿœ0-9@]+)(?![A-Za-z0-9._-]*\s?[@＠#(\[])")
 
 
+#: Most confusions of a word that a reading may undo.
+MOST = 4
+#: Beginnings of words are known at multiples of so many characters.
+STEP = 3
+#: Characters that something else may be read as.
+READ_SIGNS = re.compile("[" + "".join(re.escape(c) for c in sorted({r[0] for r in READ_AS})) + "]")
+
 #: A sign or digit between the letters of a word.
 INNER_SIGN = re.compile(r"[A-Za-z][@|$£0-9]+[a-z]|^[@|$£0-9][a-z]{2,}|[a-z]{2,}[@|$£0-9]$")
 
@@ -81,7 +88,8 @@ class Model:
     def __init__(self, one: np.ndarray, two: np.ndarray) -> None:
         self.one, self.two = one, two
         self.total = float(one[: BINS // 2].sum()) + 1.0
-        self.usual = max(30.0, 2e-5 * self.total)
+        #: The greatest count of any unit: what is so frequent that nothing can be far better known is not searched.
+        self.most = float(min(one[: BINS // 2].max(), one[BINS // 2 :].max()))
         self._alt: dict[str, list[tuple[str, float]]] = {}
         self._count: dict[str, float] = {}
 
@@ -141,50 +149,66 @@ class Model:
     def _find(self, unit: str) -> list[tuple[str, float]]:
         if len(unit) == 1:
             return [(t, math.log(0.002)) for t in HAN_READ.get(unit, ())]
-        if len(unit) < 3 or not WORDLIKE.search(unit) or self.seen(unit) >= self.usual:
+        if len(unit) < 3 or not WORDLIKE.search(unit) or not READ_SIGNS.search(unit):
             return []
         parts = CAMEL.split(unit)
         if len(parts) == 1:
-            return self._search(unit, "", 4)
-        # a name in camel case: its unusual parts one by one, then a changed border between parts
+            return self._search(unit, "")
+        # a name in camel case: its parts one by one, then a changed border between parts
         out = [("", 0.0)]
         changed = False
         for p in parts:
-            options = [(p, 0.0)]
-            if self.seen("." + p) < self.usual:
-                better = self._search(p, ".", 3)
-                changed |= bool(better)
-                options = better or options
-            out = [(w + o, c + q) for w, c in out for o, q in options][:8]
-        if changed:
-            return out
-        return self._search(unit, None, 1)
-
-    def _search(self, unit: str, mark: str | None, most: int) -> list[tuple[str, float]]:
-        """Readings of fewest confusions that the corpus knows far better than the unit itself."""
+            better = self._search(p, ".") if READ_SIGNS.search(p) else []
+            changed |= bool(better)
+            out = [(w + o, c + q) for w, c in out for o, q in better or [(p, 0.0)]]
+        return out if changed else self._search(unit, None)
+
+    def needed(self, own: float, sign: bool, changes: int) -> float:
+        """Count that a reading by so many confusions must have to be far better known than the unit."""
+        return 4 + 2 * own if sign else 5 + 8 * own if changes < 3 else 30 + 40 * own
+
+    def _search(self, unit: str, mark: str | None) -> list[tuple[str, float]]:
+        """Readings of fewest confusions (MOST at most) that the corpus knows far better than the unit itself.
+
+        The unit is walked character by character; a walk ends where no word of the
+        corpus begins so, whatever the number of characters that may be misread.
+        """
         seen = self.count if mark is None else (lambda w: self.seen(mark + w))
-        own = seen(unit)
-        spots = [(i, r, t, p) for i in range(len(unit)) for r in (unit[i], unit[i : i + 2]) if r in READ_AS and (len(r) == 1 or i + 1 < len(unit)) for t, p in READ_AS[r]][:12]
-        for k in range(1, min(most, len(spots), 4 if len(spots) <= 8 else 2) + 1):
-            best = []
-            need = 4 + 2 * own if INNER_SIGN.search(unit) else 5 + 8 * own if k < 3 else 30 + 40 * own
-            for chosen in combinations(spots, k):
-                if any(a[0] + len(a[1]) > b[0] for a, b in zip(chosen, chosen[1:])):
-                    continue
-                word, last = [], 0
-                for i, r, t, _ in chosen:
-                    word += [unit[last:i], t]
-                    last = i + len(r)
-                word = "".join(word) + unit[last:]
-                if seen(word) >= need:
-                    best.append((word, sum(math.log(p) for *_, p in chosen)))
-            if best:
-                return best
-        return []
-
-
-def model_of(texts: DataFrame) -> Model:
-    """Counts over every page; two arrays of BINS numbers reach the driver."""
+        own, sign = seen(unit), INNER_SIGN.search(unit) is not None
+        if self.needed(own, sign, 1) > self.most:
+            return []
+        best: dict[int, list[tuple[str, float]]] = {}
+        fewest = 1 if mark is None else MOST
+        stack = [(0, "", 0, 0.0)]
+        while stack:
+            at, made, changes, cost = stack.pop()
+            if at == len(unit):
+                if changes and seen(made) >= self.needed(own, sign, changes):
+                    best.setdefault(changes, []).append((made, cost))
+                    fewest = min(fewest, changes)
+                continue
+            steps = [(at + 1, unit[at], 0, 0.0)]
+            if changes < fewest:
+                for r in (unit[at], unit[at : at + 2]):
+                    if len(r) == 1 or at + 1 < len(unit):
+                        steps += [(at + len(r), t, 1, math.log(p)) for t, p in READ_AS.get(r, ())]
+            for nxt, t, more, c in steps:
+                word = made + t
+                if len(word) // STEP > len(made) // STEP and (mark is not None or not CAMEL.search(word)):
+                    head = word[: len(word) // STEP * STEP]
+                    if len(head) < len(word) or nxt < len(unit):
+                        if self.seen("^" + head) < 1:
+                            continue
+                stack.append((nxt, word, changes + more, cost + c))
+        return sorted(best.get(min(best, default=0), []))
+
+
+def model_of(pages: DataFrame) -> Model:
+    """Counts over every different page text; two arrays of BINS numbers reach the driver.
+
+    Copies of a page count once, so that its misreadings do not become usual.
+    """
+    texts = pages.select("text").groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
     def count(batches):
         a, b = np.zeros(BINS, np.int64), np.zeros(BINS, np.int64)
         for (column,) in batches:
@@ -199,11 +223,16 @@ def model_of(texts: DataFrame) -> Model:
             two = Counter(zip(units, units[1:]))
             del one[""]
             parts: Counter[str] = Counter("-" + c for c in compounds)
+            heads: dict[str, int] = {}
             for u, n in one.items():
                 if len(u) > 3:
                     for p in CAMEL.split(u):
                         parts["." + p] += n
-            for table, counts in ((a, one), (a, parts), (b, {u + " " + v: n for (u, v), n in two.items() if u and v})):
+                        for k in range(STEP, len(p), STEP):
+                            heads["^" + p[:k]] = 1
+                    for k in range(STEP, len(u), STEP):
+                        heads["^" + u[:k]] = 1
+            for table, counts in ((a, one), (a, parts), (a, heads), (b, {u + " " + v: n for (u, v), n in two.items() if u and v})):
                 at = np.fromiter((xxhash.xxh64_intdigest(u) for u in counts), np.uint64, len(counts))
                 n = np.fromiter(counts.values(), np.int64, len(counts))
                 half = BINS // 2
@@ -233,9 +262,11 @@ def viterbi(units: list[str], options: list[list[tuple[str, float]]], model: Mod
     return list(max(states, key=lambda s: s[2])[3])
 
 
-def misread(text: str, model: Model) -> list[tuple[str, str]]:
-    """(read, true) of the units that decoding changes, line by line with the line's neighbours in view."""
-    units = units_of(text)
+def misread(text: str, model: Model) -> list[tuple[int, int, str]]:
+    """(start, end, true) of the units that decoding changes, each with its line's neighbours in view."""
+    masked = MASK.sub(lambda m: " " * len(m.group(0)), text) if any(s in text for s in MASK_SIGNS) else text
+    places = [(m.start(), m.end()) for m in UNIT.finditer(masked)]
+    units = [text[a:b] for a, b in places]
     last = len(units) - 1
     alts = [
         model.alternatives(u) if len(u) > 1 else model.han_options(units[i - 1] if i else "", u, units[i + 1] if i < last else "") if u in HAN_READ else []
@@ -253,9 +284,7 @@ def misread(text: str, model: Model) -> list[tuple[str, str]]:
         lo, hi = max(0, i - 2), min(len(units), j + 3)
         window = units[lo:hi]
         out = viterbi(window, alts[lo:hi], model)
-        changed = [(a, b) for a, b in zip(window, out) if a != b]
-        if changed:
-            found += changed
+        found += [(*places[lo + k], b) for k, (a, b) in enumerate(zip(window, out)) if a != b]
         done = j
     return found
 
@@ -315,7 +344,7 @@ def header_candidate(text: str) -> tuple[str, str, bool] | None:
     m = JOINED.match(line.strip())
     head = m.group("head") if m else line
     fold = fold_line(head)
-    if len(fold) < 4 or len(line) > 80:
+    if len(fold) < 4:
         return None
     below = next((fold_line(lines[k]) for k in range(i + 1, len(lines)) if lines[k].strip()), "")
     return fold, below, m is not None
@@ -421,13 +450,8 @@ def repair(text: str | None, folds: set[str], model: Model) -> str | None:
             out += "\n" + line.strip()
         else:
             out += ("" if ord(out[-1]) > 0x2E7F or ord(line.strip()[0]) > 0x2E7F else " ") + line.strip()
-    for read, true in misread(out, model):
-        out = re.sub(rf"(?<![A-Za-z0-9]){re.escape(read)}(?![A-Za-z0-9])", true, out) if len(read) > 1 else _fix_han(out, read, true, model)
-    return out.strip()
-
-
-def _fix_han(text: str, read: str, true: str, model: Model) -> str:
-    return re.sub(re.escape(read), lambda m: true if any(t == true for t, _ in model.han_options(text[max(0, m.start() - 1) : m.start()], read, text[m.end() : m.end() + 1])) else read, text)
+    # a unit that two windows saw is changed once
+    return join_splits(out, sorted({(a, b): (a, b, true) for a, b, true in misread(out, model)}.values())).strip()
 
 
 def paragraphs(ocr: DataFrame) -> DataFrame:
