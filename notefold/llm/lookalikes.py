@@ -4,7 +4,8 @@ Tokens that hold an unusual character are looked up in a trie of the corpus
 vocabulary by a weighted edit automaton in which look-alikes and ignorables
 cost nothing. A match gives the canonical spelling; tokens without a match are
 normalised by table. The vocabulary is counted over the whole corpus; trie and
-tokens meet in hash buckets of their skeleton, so no table is broadcast.
+tokens meet in hash buckets of their skeleton, so no table is broadcast; words seen
+once are in it.
 
 Defined results: null, empty and blank texts normalise to themselves and are
 never found; repeated rows give one row; texts are read whole.
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notefold.functions.arrow import flat_map_batches, flat_map_partitions
+from notefold.functions.joins import merge_join
 
 #: Letters of other alphabets by the Latin letter they look like.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХаеоорсухіјѕԁԛԝһӏѵгп", "ABESIJKMHOPCTYXaeoopcyxijsdqwhlvrn"))
@@ -29,6 +31,8 @@ LOOKALIKE = {**CYRILLIC, **GREEK}
 #: Look-alikes near enough to stand in for a Latin letter by themselves.
 STRICT = {k: v for k, v in LOOKALIKE.items() if k not in "кмтнвгпиκτυχγιν" or k in "ιν"}
 STRICT.update({"ι": "i", "ν": "v", "υ": "u", "χ": "x", "κ": "k", "τ": "t", "γ": "y"})
+#: Beside Latin letters of the same token any Cyrillic look-alike stands in.
+WIDE = {**STRICT, **CYRILLIC}
 #: Characters that show nothing.
 IGNORABLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff"
 #: Spaces other than the ASCII space.
@@ -58,7 +62,13 @@ def skeleton(token: str) -> str:
     """What all zero-cost variants of a token share: ignorables dropped, look-alikes folded."""
     t = token.translate(TRANSLATE)
     t = unicodedata.normalize("NFKC", t)
-    return "".join(STRICT.get(c, c) for c in t)
+    table = table_of(t)
+    return "".join(table.get(c, c) for c in t)
+
+
+def table_of(token: str) -> dict[str, str]:
+    """The look-alikes that count in a token: more of them in company of Latin letters."""
+    return WIDE if LATIN.search(token) else STRICT
 
 
 class Trie:
@@ -81,10 +91,11 @@ class Trie:
     def match(self, token: str) -> str | None:
         """The most frequent visually identical word, ties by code point; None without one."""
         states = [self.root]
+        table = table_of(token)
         for c in unicodedata.normalize("NFC", token):
             if c in IGNORABLE:
                 continue
-            readings = {c, STRICT.get(c, c), *unicodedata.normalize("NFKC", c)[:1]} if not c.isascii() else {c}
+            readings = {c, table.get(c, c), *unicodedata.normalize("NFKC", c)[:1]} if not c.isascii() else {c}
             wide = unicodedata.normalize("NFKC", c)
             step = []
             for node in states:
@@ -112,7 +123,7 @@ def by_table(token: str) -> str:
     if LATIN.search(t):
         parts = re.split(f"([{OTHER}]+)", t)
         # a run that is spelt only with look-alikes stands in; a run with other letters is a word of its own
-        t = "".join("".join(STRICT.get(c, c) for c in p) if i % 2 and all(c in STRICT for c in p) else p for i, p in enumerate(parts))
+        t = "".join("".join(WIDE.get(c, c) for c in p) if i % 2 and all(c in WIDE for c in p) else p for i, p in enumerate(parts))
     return t
 
 
@@ -151,14 +162,14 @@ def vocabulary(texts: DataFrame) -> DataFrame:
     return flat_map_batches(texts.select("text"), count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def resolve(tokens: DataFrame, vocab: DataFrame, least: int = 2) -> DataFrame:
+def resolve(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """(token, canonical, how) for distinct tokens; how is 'trie' or 'table'.
 
     Tokens and words meet by a hash of the skeleton. Only words whose skeleton
     some token has are shuffled into a trie (left semi on the skeleton).
     """
     t = flat_map_batches(tokens.select("token").distinct(), lambda values: ((v, skeleton(v)) for v in values), "token string, skel string")
-    v = vocab.where(F.col("n") >= least).withColumn("skel", F.col("word")).join(t.select("skel").distinct(), "skel", "left_semi")
+    v = merge_join(vocab.withColumn("skel", F.col("word")), t.select("skel").distinct(), "skel", "left_semi")
     both = t.select("skel", "token", F.lit(None).cast("string").alias("word"), F.lit(None).cast("bigint").alias("n")).unionByName(v.select("skel", F.lit(None).cast("string").alias("token"), "word", "n"))
 
     def run(batches):
@@ -177,10 +188,10 @@ def resolve(tokens: DataFrame, vocab: DataFrame, least: int = 2) -> DataFrame:
 
 
 def occurrences(texts: DataFrame) -> DataFrame:
-    """(field, record_key, token) of unusual tokens."""
+    """(field, record_key, token) of unusual tokens; unusual spaces, which need no vocabulary, are one token null."""
     def scan(fields, keys, column):
         for f, k, text in zip(fields, keys, column):
-            for token in odd_tokens(text):
+            for token in dict.fromkeys(None if SPACE.fullmatch(t) else t for t in odd_tokens(text)):
                 yield f, k, token
 
     return flat_map_batches(texts.select("field", "record_key", "text"), scan, "field string, record_key string, token string")
@@ -189,18 +200,20 @@ def occurrences(texts: DataFrame) -> DataFrame:
 def lookalikes_found(texts: DataFrame) -> DataFrame:
     """Distinct (field, record_key) of texts with a token that changes in normalisation."""
     occ = occurrences(texts)
-    canon = resolve(occ, vocabulary(texts)).where(F.col("canonical") != F.col("token")).select("token")
-    return occ.join(canon, "token", "left_semi").select("field", "record_key").distinct()
+    words = occ.where(F.col("token").isNotNull())
+    canon = resolve(words, vocabulary(texts)).where(F.col("canonical") != F.col("token")).select("token")
+    spaces = occ.where(F.col("token").isNull()).select("field", "record_key")
+    return spaces.unionByName(merge_join(words, canon, "token", "left_semi").select("field", "record_key")).distinct()
 
 
 def normalized(texts: DataFrame) -> DataFrame:
     """(field, record_key, text, normal) with every text in one consistent form."""
-    occ = occurrences(texts)
+    occ = occurrences(texts).where(F.col("token").isNotNull())
     canon = resolve(occ, vocabulary(texts))
-    per = occ.distinct().join(canon.where(F.col("how") == "trie"), "token").groupBy("field", "record_key").agg(F.map_from_entries(F.collect_set(F.struct("token", "canonical"))).alias("canon"))
+    per = merge_join(occ.distinct(), canon.where(F.col("how") == "trie"), "token").groupBy("field", "record_key").agg(F.map_from_entries(F.collect_set(F.struct("token", "canonical"))).alias("canon"))
 
     def apply(fields, keys, column, canons):
         for f, k, text, c in zip(fields, keys, column, canons):
             yield f, k, text, normalize_text(text, dict(c) if c else None)
 
-    return flat_map_batches(texts.select("field", "record_key", "text").distinct().join(per, ["field", "record_key"], "left").select("field", "record_key", "text", "canon"), apply, "field string, record_key string, text string, normal string")
+    return flat_map_batches(merge_join(texts.select("field", "record_key", "text").distinct(), per, ["field", "record_key"], "left").select("field", "record_key", "text", "canon"), apply, "field string, record_key string, text string, normal string")

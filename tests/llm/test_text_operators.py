@@ -63,6 +63,15 @@ def test_lookalikes(spark):
     assert lookalikes.lookalikes_found(again).count() == 0
 
 
+def test_lookalikes_of_mixed_words(spark):
+    """Any Cyrillic look-alike counts beside Latin letters; a word that the corpus spells once is enough."""
+    rows = [("w", None, "Kafka and metrics, OOM"), ("k", None, "кafka"), ("m", None, "mетрics"), ("o", None, "ООМ"), ("ru", None, "кот и том"), ("sp", None, "a b"), ("sp", None, "a b")]
+    texts = lookalikes.texts_of(notes(spark, rows), ocr(spark, []))
+    assert {r.record_key for r in lookalikes.lookalikes_found(texts).collect()} == {"k", "m", "o", "sp"}
+    normal = {r.record_key: r.normal for r in lookalikes.normalized(texts).collect()}
+    assert (normal["k"].lower(), normal["m"], normal["o"], normal["ru"], normal["sp"]) == ("kafka", "metrics", "OOM", "кот и том", "a b")
+
+
 # ---- problem 7 ----
 @pytest.mark.parametrize("text,kinds", [
     ("<p>a</p>", {"html"}), ("a&nbsp;b", {"html"}), ("# 标题", {"markdown"}), ("用**粗体**和`代码`", {"markdown"}), ("[[链接]]", {"wiki"}), ("== 节 ==", {"wiki"}), ("'''粗'''", {"wiki"}), ("\\textbf{a}", {"latex"}), ("$x_{9}$", {"latex"}),
