@@ -18,6 +18,11 @@ SECRET = r"(?i)(token|cookie|session|auth|sign|sig|secret|key|ticket)"
 SPACE = r"[\s\u0085   -     　\x1c-\x1f]"
 
 
+def bind(c: Column, fn) -> Column:
+    """``fn(c)`` with ``c`` evaluated once, however often ``fn`` uses it."""
+    return F.element_at(F.transform(F.array(c), fn), 1)
+
+
 def strip(c: Column) -> Column:
     """Without white space of any script at the ends."""
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
@@ -103,8 +108,8 @@ def dates(c: Column) -> Column:
 
 def terms(c: Column, dictionary: list[str] | None = None) -> Column:
     """Terms of the dictionary that the text contains, case aside, in code point order."""
-    low = F.lower(c)
-    return F.array_compact(F.array(*(F.when(low.contains(t.lower()), F.lit(t)) for t in sorted(dictionary or TERMS))))
+    known = F.array(*map(F.lit, sorted(dictionary or TERMS)))
+    return F.when(c.isNotNull(), bind(F.lower(c), lambda low: F.filter(known, lambda t: low.contains(F.lower(t)))))
 
 
 def first_hint(c: Column, hints: list[str]) -> Column:

@@ -4,21 +4,22 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notefold.functions.arrow import flat_map_batches
+from notefold.functions.joins import merge_join
 from notefold.functions.text import publish_date
 from notefold.operators.rank import variant_score
 
 #: Keys of captured responses, lower case without signs.
 CURSOR_KEYS = ["cursor", "nextcursor", "lastcursor", "searchid"]
 MORE_KEYS = ["hasmore", "ismore", "more"]
-ID_KEYS = ["noteid", "noteidstr", "noteids"]
 CONTEXT_KEYS = ["cover", "coverurl", "displaytitle", "interactinfo", "imagelist", "notecard", "notetype", "xsectoken"]
 NOTE_PATH = re.compile(r"/(?:explore|discovery/item)/([0-9A-Za-z_-]{8,80})")
 BARE_ID = re.compile(r"^[0-9A-Za-z_-]{8,80}$")
@@ -136,61 +137,78 @@ def page_links(df: DataFrame, key: str, html: str, base: str, host: str) -> Data
     return flat_map_batches(df.select(key, html, base), run, T.StructType([df.schema[key], *T._parse_datatype_string("ord int, note_id string, url string").fields]))
 
 
-def note_refs(text: str | None, slug: str | None = None) -> tuple[list[tuple[str, str | None, int]], bool | None, str | None]:
-    """References in a JSON document, in document order: (id, cursor, sequence), whether more follow, first cursor."""
-    refs: list[tuple[str, str | None, int]] = []
-    seen: set[str] = set()
-    cursors: list[str] = []
-    more: list[bool] = []
-    name = lambda k: re.sub(r"[^a-z0-9]", "", k.lower())
+#: A JSON document laid out: one row a scalar member, in document order.
+MEMBERS = "ord int, node int, name string, text string, kind string, noted boolean, cursor string"
 
-    def offer(value: object, cursor: str | None) -> None:
-        s = str(value).strip()
-        m = NOTE_PATH.search(s)
-        found = m.group(1) if m else s if BARE_ID.match(s) else None
-        if found and found != slug and found not in seen:
-            seen.add(found)
-            refs.append((found, cursor, len(refs) + 1))
 
-    def walk(value: object, cursor: str | None, in_note: bool) -> None:
-        if isinstance(value, dict):
-            keys = {name(k) for k in value}
-            own = next((v for k, v in value.items() if name(k) in CURSOR_KEYS and isinstance(v, (str, int)) and str(v)), None)
-            cursor = str(own) if own is not None else cursor
-            if cursor:
-                cursors.append(cursor)
-            flag = next((v for k, v in value.items() if name(k) in MORE_KEYS and (isinstance(v, (bool, int, float)) or str(v).lower() in ("true", "false"))), None)
-            if flag is not None:
-                more.append(flag.lower() == "true" if isinstance(flag, str) else bool(flag))
-            context = in_note or any("note" in k for k in keys) or bool(keys & set(CONTEXT_KEYS))
-            for k, v in value.items():
-                n = name(k)
-                if isinstance(v, (str, int)):
-                    if ("note" in n and "id" in n) or (n == "id" and context) or (isinstance(v, str) and NOTE_PATH.search(v)):
-                        offer(v, cursor)
-                walk(v, cursor, in_note or "note" in n)
-        elif isinstance(value, list):
-            for v in value:
-                walk(v, cursor, in_note)
-        elif isinstance(value, str) and NOTE_PATH.search(value):
-            offer(value, cursor)
-
-    try:
-        walk(json.loads(text or "null"), None, False)
-    except ValueError:
-        return [], None, None
-    return refs, (any(more) if more else None), (cursors[0] if cursors else None)
+def _plain(key: str) -> str:
+    return re.sub(r"[^a-z0-9]", "", key.lower())
 
 
-def json_refs(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, note_id, cursor, sequence, has_more) of every captured document; bad JSON has none."""
-    def run(keys, docs):
-        for k, t in zip(keys, docs):
-            refs, more, _ = note_refs(t)
-            for r in refs:
-                yield k, *r, more
+def members(text: str | None) -> Iterator[tuple]:
+    """MEMBERS rows of a document; none of one that is no JSON.
 
-    return flat_map_batches(df.select(key, text), run, T.StructType([df.schema[key], *T._parse_datatype_string("note_id string, cursor string, sequence int, has_more boolean").fields]))
+    ``node`` numbers the objects. ``noted`` says that the member stands below a key,
+    or beside one, that speaks of notes. ``cursor`` is the page mark of its object,
+    else of the nearest object around it that has one.
+    """
+    try:
+        todo: list[tuple] = [("", json.loads(text or "null"), 0, False, False, None)]
+    except ValueError:
+        return
+    ord_, nodes = 0, 0
+    while todo:
+        name, value, node, below, noted, cursor = todo.pop()
+        if isinstance(value, dict):
+            nodes += 1
+            plain = {k: _plain(k) for k in value}
+            marks = [str(v) for k, v in value.items() if plain[k] in CURSOR_KEYS and isinstance(v, (str, int)) and str(v)]
+            cursor = marks[0] if marks else cursor
+            here = below or any("note" in p or p in CONTEXT_KEYS for p in plain.values())
+            inner = [(plain[k], v, nodes, below or "note" in plain[k], here, cursor) for k, v in value.items()]
+            if cursor is not None:
+                ord_ += 1
+                yield ord_, nodes, "", None, "object", here, cursor
+            todo += reversed(inner)
+        elif isinstance(value, list):
+            todo += [("", v, node, below, False, cursor) for v in reversed(value)]
+        elif value is not None:
+            ord_ += 1
+            kind = "flag" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "text"
+            yield ord_, node, name, str(value), kind, noted, cursor
+
+
+def json_refs(df: DataFrame, key: str, text: str, slug: Column | None = None) -> DataFrame:
+    """(key, note_id, cursor, sequence, has_more, next_cursor) of every note that a captured document names, once each.
+
+    A member names a note by a key that speaks of a note's id, by the bare key "id"
+    where notes are spoken of, or by a note's URL; ``slug`` is the board's own name
+    and no note. A document says that more follow when any of its objects does, that
+    none do when some say so and none the contrary. Repeated documents of one key
+    count as one; bad JSON and null give no rows.
+    """
+    docs = df.select(key, F.col(text).alias("_doc"), (slug if slug is not None else F.lit(None).cast("string")).alias("_slug")).where(F.col(key).isNotNull() & F.col("_doc").isNotNull()).groupBy(key).agg(F.min(F.struct("_doc", "_slug")).alias("_d")).select(key, "_d.*")
+
+    def lay_out(keys, texts, slugs):
+        for k, t, own in zip(keys, texts, slugs):
+            for row in members(t):
+                yield k, own, *row
+
+    schema = T.StructType([df.schema[key], *T._parse_datatype_string("slug string, " + MEMBERS).fields])
+    rows = flat_map_batches(docs, lay_out, schema)
+    name, value = F.col("name"), F.trim("text")
+    by_url = F.nullif(F.regexp_extract(value, NOTE_PATH.pattern, 1), F.lit(""))
+    bare = F.when(value.rlike(BARE_ID.pattern), value)
+    by_key = F.col("kind").isin("text", "number") & ((name.contains("note") & name.contains("id")) | ((name == "id") & F.col("noted")))
+    named = rows.withColumn("note_id", F.when(by_key, F.coalesce(by_url, bare)).when(F.col("kind") == "text", by_url))
+    refs = named.where(F.col("note_id").isNotNull() & ~F.col("note_id").eqNullSafe(F.col("slug"))).groupBy(key, "note_id").agg(F.min(F.struct("ord", "cursor")).alias("first"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("first.ord"))
+    says = F.when(F.col("kind") == "number", F.col("text").try_cast("double") != 0).otherwise(F.lower("text") == "true")
+    flags = rows.where(name.isin(MORE_KEYS) & ((F.col("kind") != "text") | F.lower("text").isin("true", "false"))).groupBy(key, "node").agg(F.min_by(says, "ord").alias("more"))
+    more = flags.groupBy(key).agg(F.bool_or("more").alias("has_more"))
+    marks = rows.where(F.col("cursor").isNotNull()).groupBy(key).agg(F.min_by("cursor", "ord").alias("next_cursor"))
+    listed = refs.select(key, "note_id", F.col("first.cursor").alias("cursor"), place.alias("sequence"))
+    return merge_join(merge_join(listed, more, key, "left"), marks, key, "left").select(key, "note_id", "cursor", "sequence", "has_more", "next_cursor")
 
 
 STATE = "title string, desc string, time bigint, user struct<userId: string, nickname: string>, imageList array<struct<infoList: array<struct<imageScene: string, url: string>>, url: string>>"

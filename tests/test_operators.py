@@ -69,36 +69,37 @@ def test_catalog_and_integrity(spark):
     assert md.startswith('---\nauthor: "say \\"x\\""\nnone: null\n---\n# t\nb')
 
 
-def test_text_comparison():
-    assert C.difference("Redis，RDB\n缓存", "redis, rdb 缓存") == "formatting_only"
-    assert C.difference("2025年面试", "2026年面试") == "critical_token_conflict"
-    assert C.difference("a", "a") is None and C.difference(None, "") is None
-    assert C.error_rate("abcd", "abxd") == 0.25 and C.error_rate("", "") == 0.0 and C.error_rate("", "a") == 1.0 and C.error_rate([], ["a"]) is None
-    assert C.ratio("tide", "diet") == 0.25
-    left = [{"text": "第一行", "box": [0, 0, 10, 5]}, {"text": "第二行", "box": [0, 10, 10, 15]}]
-    assert [(i, j) for i, j, _ in C.match_blocks(left, left[::-1])] == [(0, 1), (1, 0)]
-    assert C.match_blocks(None, left) == [] and C.match_blocks([], []) == []
-
-
-def test_block_matching_equals_the_plain_loop():
-    import random
-
-    rng = random.Random(3)
-    for _ in range(40):
-        make = lambda: [{"text": "".join(rng.choice("abc甲乙") for _ in range(rng.randint(0, 6))), "box": [0, y := rng.randint(0, 40), 30, y + 8] if rng.random() < 0.8 else None} for _ in range(rng.randint(0, 7))]
-        left, right = make(), make()
-        a = [(C.review_norm(x["text"]), x["box"]) for x in left]
-        b = [(C.review_norm(x["text"]), x["box"]) for x in right]
-        used, plain = set(), []
-        for i in sorted(range(len(a)), key=lambda i: ((a[i][1] or [0, 0])[1], (a[i][1] or [0, 0])[0], a[i][0])):
-            top, at = 0.0, None
-            for j in range(len(b)):
-                if j not in used and C.block_score(a[i], b[j]) > top:
-                    top, at = C.block_score(a[i], b[j]), j
-            if at is not None and top >= 0.45:
-                used.add(at)
-                plain.append((i, at))
-        assert [(i, j) for i, j, _ in C.match_blocks(left, right)] == plain
+def cells(spark, rows, schema, **columns):
+    return [r.asDict() for r in spark.createDataFrame(rows, schema).select(*(c.alias(n) for n, c in columns.items())).collect()]
+
+
+def test_text_comparison(spark):
+    pairs = spark.createDataFrame([("n", i, "l", "r", a, b) for i, (a, b) in enumerate([("Redis，RDB\n缓存", "redis, rdb 缓存"), ("2025年面试", "2026年面试"), ("a", "a"), (None, ""), ("一段普通的话说了很久", "一段普通的话说了很"), ("第一段讲了这些东西然后继续讲后面的东西", "第一段讲了"), ("techmysql好用", "sql好用")])], "note_id string, image_index int, left_engine string, right_engine string, left_text string, right_text string")
+    got = {r.image_index: r.difference for r in compare.compared(pairs).collect()}
+    assert [got[i] for i in range(6)] == ["formatting_only", "critical_token_conflict", None, None, "minor_noncritical", "sentence_or_line_missing"]
+    rates = cells(spark, [("abcd", "abxd"), ("", ""), ("", "a"), (None, None)], "t string, r string", cer=C.error_rate(F.col("t"), F.col("r")))
+    assert [r["cer"] for r in rates] == [0.25, 0.0, 1.0, 0.0]
+    lists = cells(spark, [(["a", "b"], ["a"]), ([], ["a"]), (["a"], ["a"])], "t array<string>, r array<string>", e=C.list_error_rate(F.col("t"), F.col("r")))
+    assert [r["e"] for r in lists] == [0.5, None, 0.0]
+    assert cells(spark, [("1. 用 Redis 3.5万\n2024年\n10、不会",)], "t string", k=C.token_set(F.col("t")))[0]["k"] == ["amount35万", "date2024", "negation不", "number10", "number2024", "number35", "techredis"]
+    done = cells(spark, [("htps 与 Mysq1，AI 和 Al", ), (None,)], "t string", c=C.corrected(F.col("t")))
+    assert done[0]["c"].text == "HTTPS 与 MySQL，AI 和 AI" and [tuple(x) for x in done[0]["c"].log] == [("htps", "HTTPS"), ("Al", "AI"), ("Mysq1", "MySQL")] and done[1]["c"].text is None
+    assert [r["f"] for r in cells(spark, [(' a/b:c  d. ',), ("___",), (None,)], "t string", f=C.safe_filename(F.col("t")))] == ["a_b_c_d", "untitled", None]
+
+
+SIDES = "note_id string, image_index int, left_engine string, right_engine string, left_text string, right_text string, left_blocks array<struct<text:string,box:array<double>>>, right_blocks array<struct<text:string,box:array<double>>>"
+
+
+def test_block_matching_and_order(spark):
+    first, second, third = (("第一行的内容", [0.0, 0.0, 10.0, 5.0]), ("第二行的内容", [0.0, 10.0, 10.0, 15.0]), ("第三行说的别的", [0.0, 20.0, 10.0, 25.0]))
+    rows = [("n", 1, "a", "b", "第一行\n第二行\n第三行", "第三行\n第二行\n第一行", [first, second], [second, first]), ("n", 2, "a", "b", None, None, None, [first]), ("n", 3, "a", "b", "x", "x", [(first[0], None), third], [(first[0], None)])]
+    pairs = spark.createDataFrame(rows, SIDES)
+    assert {(r.image_index, r.left_block, r.right_block) for r in compare.block_matches(pairs).collect()} == {(1, 0, 1), (1, 1, 0), (3, 0, 0)}
+    assert [(r.image_index, r.matched, r.inversion_ratio) for r in compare.order_conflicts(pairs).collect()] == [(1, 3, 1.0)]
+    assert {(r.image_index, r.left_block, r.difference) for r in compare.block_differences(pairs).collect()} == {(3, 1, "minor_noncritical")}
+    assert compare.block_differences(pairs.limit(0)).count() == 0 and compare.order_conflicts(pairs.limit(0)).count() == 0
+    overlap = cells(spark, [([0.0, 0.0, 10.0, 10.0], [0.0, 5.0, 10.0, 15.0])], "a array<double>, b array<double>", o=C.overlap(F.col("a"), F.col("b")))[0]["o"]
+    assert (round(overlap.iou, 3), overlap.vertical, overlap.distance) == (0.333, 0.5, 0.5)
 
 
 def test_inversions(spark):
@@ -107,6 +108,23 @@ def test_inversions(spark):
     assert (r.matched, r.inversion_ratio) == (4, 0.5)
 
 
+def test_rates_of_lines(spark):
+    rows = [("n", 1, "a", "b", "甲行一二三\n乙行四五六\n丙行七八九", "乙行四五六\n甲行一二三\n丙行七八"), ("n", 2, "a", "b", "只有一行", "全然不同"), ("n", 3, "a", "b", None, None)]
+    got = {r.image_index: r for r in compare.error_rates(spark.createDataFrame(rows, "note_id string, image_index int, left_engine string, right_engine string, left_text string, right_text string")).collect()}
+    assert (got[1].missing, round(got[1].order, 3), got[2].missing, got[2].order, got[3].cer, got[3].auto_pass) == (0.0, 0.667, 1.0, 0.0, 0.0, True)
+
+
+def test_review_levels(spark):
+    images = spark.createDataFrame([("n", 1, True, None, None), ("n", 2, True, "accepted", "false"), ("n", 3, False, "discarded", "0"), ("n", 4, True, "accepted", "true"), ("n", 5, False, None, None), ("n", 6, True, None, None)], "note_id string, image_index int, previous boolean, manual_status string, manual_required string")
+    reasons = spark.createDataFrame([("n", 1, "image_quality_risk"), ("n", 1, "critical_token_conflict"), ("n", 1, "critical_token_conflict"), ("n", 2, "reading_order_conflict"), ("n", 3, "image_quality_risk"), ("n", 4, "image_quality_risk"), ("n", 5, "minor_noncritical")], "note_id string, image_index int, reason string")
+    levels = compare.review_levels(images, reasons)
+    assert {r.image_index: (r.level, r.human_required, r.regions) for r in levels.collect()} == {1: ("critical_token_conflict", True, 3), 2: ("manual_accepted", False, 0), 3: ("discarded_by_user", False, 0), 4: ("image_quality_risk", True, 1), 5: ("minor_noncritical", False, 0), 6: ("auto_accepted", False, 0)}
+    total = {r.metric: r.value for r in compare.review_summary(levels).collect()}
+    assert (total["total_images"], total["previous_needs_review"], total["human_review_required"], total["human_review_regions"], total["image_quality_risk"], total["auto_cleared_from_previous_needs_review"]) == (6, 4, 2, 4, 2, 2)
+    three = spark.createDataFrame([("n", 1, e, "success", str(i), t) for i, (e, t) in enumerate([("ppocr", "甲乙丙丁"), ("apple_vision", "子丑寅卯"), ("paddleocr_vl", "天地玄黄")])] + [("n", 2, e, "success", e, "同") for e in "abc"], "note_id string, image_index int, engine string, status string, ocr_id string, text string")
+    assert [(r.note_id, r.image_index) for r in compare.three_way(three).collect()] == [("n", 1)]
+
+
 PAGE = """<html><head><title>x - 站</title><meta property="og:title" content="示例复盘"/><script type="application/ld+json">{"author": {"name": "u", "identifier": "77"}, "datePublished": "2025-03-28", "image": ["https://i.example/notes/01.webp", "https://i.example/notes/02.webp"]}</script></head>
 <body><article><p>正文 #面经 #后端</p><img src="//i.example/notes/01.webp"><a href="/explore/222222222222222222222222">n</a><a href="/explore/222222222222222222222222">n</a><a href="https://other.example/explore/333333333333333333333333">o</a></article></body>"""
 
@@ -118,9 +136,9 @@ def test_extraction(spark):
     assert (p.title, p.author, p.author_id, p.published, p.images, p.tags) == ("示例复盘", "u", "77", "2025-03-28", ["https://i.example/notes/01.webp", "https://i.example/notes/02.webp"], ["面经", "后端"])
     assert got["q"].title is None and got["r"].body is None
     assert [tuple(r) for r in extract.page_links(df, "id", "html", "base", "h.example").collect()] == [("p", 1, "2" * 24, "https://www.h.example/explore/" + "2" * 24)]
-    refs, more, cursor = extract.note_refs('{"data": {"board": {"id": "aaaaaaaaaaaaaaaaaaaaaaaa", "cursor": "c1", "has_more": false, "notes": [{"id": "bbbbbbbbbbbbbbbbbbbbbbbb", "display_title": "t"}, {"note_card": {"note_id": "cccccccccccccccccccccccc"}}]}}}', "a" * 24)
-    assert ([r[0] for r in refs], more, cursor) == (["b" * 24, "c" * 24], False, "c1")
-    assert extract.note_refs("{bad") == ([], None, None)
+    docs = [("a", '{"data": {"board": {"id": "aaaaaaaaaaaaaaaaaaaaaaaa", "cursor": "c1", "has_more": false, "notes": [{"id": "bbbbbbbbbbbbbbbbbbbbbbbb", "display_title": "t"}, {"note_card": {"note_id": "cccccccccccccccccccccccc"}}, {"noteId": true}]}}}'), ("a", None), ("bad", "{bad"), ("list", '[["https://h.example/explore/dddddddddddddddddddddddd"], {"id": "eeeeeeeeeeee"}]'), (None, "{}")]
+    refs = {(r.k, r.note_id, r.cursor, r.sequence, r.has_more, r.next_cursor) for r in extract.json_refs(spark.createDataFrame(docs, "k string, d string"), "k", "d", F.lit("a" * 24)).collect()}
+    assert refs == {("a", "b" * 24, "c1", 1, False, "c1"), ("a", "c" * 24, "c1", 2, False, "c1"), ("list", "d" * 24, None, 1, None, None)}
     s = spark.createDataFrame([("k", '{"imageList": [{"infoList": [{"imageScene": "WB_PRV", "url": "http://a/1"}, {"imageScene": "WB_DFT", "url": "http://a/2"}]}]}'), ("bad", "{")], "k string, d string")
     assert [tuple(r) for r in extract.state_images(s, "k", "d").collect()] == [("k", 1, "https://a/2", 100)]
 
