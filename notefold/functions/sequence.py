@@ -23,6 +23,10 @@ def _alignment(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     matched, changed = [], []
     for x, y in zip(a, b):
         x, y = x or "", y or ""
+        if x == y:
+            matched.append(len(x))
+            changed.append([])
+            continue
         steps = SequenceMatcher(None, x, y).get_opcodes()
         matched.append(sum(j - i for tag, i, j, _, _ in steps if tag == "equal"))
         changed.append([x[i:j] + y[k:m] for tag, i, j, k, m in steps if tag != "equal"])
@@ -33,13 +37,15 @@ def _alignment(a: pd.Series, b: pd.Series) -> pd.DataFrame:
 def matched_items(a: pd.Series, b: pd.Series) -> pd.Series:
     """Items of two lists that align; a null list is empty."""
     items = lambda v: [] if v is None else list(v)
-    return pd.Series([sum(m.size for m in SequenceMatcher(None, items(x), items(y)).get_matching_blocks()) for x, y in zip(a, b)], dtype="int32")
+    count = lambda x, y: len(x) if x == y else sum(m.size for m in SequenceMatcher(None, x, y).get_matching_blocks())
+    return pd.Series([count(items(x), items(y)) for x, y in zip(a, b)], dtype="int32")
 
 
 @F.pandas_udf(T.DoubleType())
 def best_likeness(line: pd.Series, others: pd.Series) -> pd.Series:
-    """Greatest likeness of a line to any of several; 0 where there is none."""
-    return pd.Series([max((SequenceMatcher(None, x or "", y).ratio() for y in (ys if ys is not None else [])), default=0.0) for x, ys in zip(line, others)], dtype="float64")
+    """Greatest likeness of a line to any of several; 0 where there is none, and for a null line, which is not compared."""
+    best = lambda x, ys: 0.0 if x is None or ys is None else 1.0 if x in ys else max((SequenceMatcher(None, x, y).ratio() for y in ys), default=0.0)
+    return pd.Series([best(x, None if ys is None else list(ys)) for x, ys in zip(line, others)], dtype="float64")
 
 
 @F.pandas_udf(T.StringType())
@@ -55,10 +61,10 @@ def casefold(text: pd.Series) -> pd.Series:
 def alignment(a: Column, b: Column) -> Column:
     """Struct (matched characters, changed: the text of both sides at each place where they differ).
 
-    Equal texts are not sent to Python.
+    A Python function is evaluated for every row, whatever condition stands around it,
+    so equal texts are passed over inside it.
     """
-    same = F.struct(F.length(a).alias("matched"), F.array().cast("array<string>").alias("changed"))
-    return F.when(a == b, same).otherwise(_alignment(a, b))
+    return _alignment(a, b)
 
 
 def likeness(matched: Column, a: Column, b: Column) -> Column:

@@ -267,8 +267,8 @@ def line_rates(pairs: DataFrame, least: float = 0.82) -> DataFrame:
     lines = pairs.select(*KEY, whole.alias("whole"), F.filter(F.transform(F.split(F.coalesce("right_text", F.lit("")), "\n"), X.compact), lambda x: x != "").alias("others"), F.posexplode(F.split(F.coalesce("left_text", F.lit("")), "\n")).alias("ord", "raw")).withColumn("line", X.compact(F.col("raw"))).where(F.col("line") != "")
     at = lines.withColumn("pos", F.nullif(F.instr("whole", F.col("line")), F.lit(0)))
     seen = at.withColumn("before", F.last("pos", ignorenulls=True).over(Window.partitionBy(*KEY).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)))
-    lost = F.when(F.col("pos").isNull(), S.best_likeness("line", "others") < least).otherwise(False)
-    per = seen.withColumn("lost", lost).groupBy(*KEY).agg(F.count("*").alias("n"), F.count_if("lost").alias("lost"), F.count_if(F.col("pos").isNull() | (F.col("before") > F.col("pos"))).alias("turned"))
+    unseen = F.when(F.col("pos").isNull(), F.col("line"))
+    per = seen.withColumn("lost", F.col("pos").isNull() & (S.best_likeness(unseen, "others") < least)).groupBy(*KEY).agg(F.count("*").alias("n"), F.count_if("lost").alias("lost"), F.count_if(F.col("pos").isNull() | (F.col("before") > F.col("pos"))).alias("turned"))
     return per.select(*KEY, (F.col("lost") / F.col("n")).alias("missing"), F.when(F.col("n") > 1, F.col("turned") / F.col("n")).otherwise(0.0).alias("order"))
 
 

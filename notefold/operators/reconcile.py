@@ -37,7 +37,7 @@ def source_counts(flags: DataFrame, sources: list[str]) -> DataFrame:
 def count_status(expected: Column, found: Column, has_more: Column) -> Column:
     known = expected.isNotNull() & (expected > 0)
     return (
-        F.when(~F.coalesce(known, F.lit(False)), "discovery_completed_without_expected_count").when(found == expected, "complete").when(has_more == F.lit(False), "sources_exhausted_but_count_mismatch")
+        F.when(~F.coalesce(known, F.lit(False)), "discovery_completed_without_expected_count").when(found >= expected, "complete").when(has_more == F.lit(False), "sources_exhausted_but_count_mismatch")
         .when(has_more == F.lit(True), "sources_not_exhausted_count_mismatch").otherwise("count_mismatch_unresolved")
     )
 

@@ -11,7 +11,7 @@ KEEP, FILL, REPLACE = "keep", "fill", "replace"
 
 def latest(df: DataFrame, key: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """One row a key, the greatest by ``order`` and then by all columns; partial aggregation, no sort."""
-    version = F.struct(*order, *columns)
+    version = F.struct(*order, *(c for c in columns if c not in order))
     return df.groupBy(*key).agg(F.max(version).alias("_v")).select(*key, *(F.col(f"_v.{c}").alias(c) for c in columns))
 
 
@@ -54,3 +54,9 @@ def fold_events(events: DataFrame, key: str, order: list[str]) -> DataFrame:
 def recover(stage: Column) -> Column:
     """Interrupted stages go back to the last settled one."""
     return F.when(stage == "fetching", "discovered").when(stage == "ocr_running", "fetched").otherwise(stage)
+
+
+#: How each column of a table takes a newer row; what is not named stays.
+BOARD = {"url": REPLACE, "title": FILL, "expected_count": FILL, "discovered_count": REPLACE, "last_collected_at": REPLACE, "updated_at": REPLACE, "created_at": KEEP}
+PARSED_NOTE = {"board_id": FILL, "output_dir": FILL, **dict.fromkeys("url canonical_url title summary_title author_name author_display_id author_profile_id publish_time_raw publish_time_iso body_text fetched_at updated_at".split(), REPLACE), "discovered_at": KEEP}
+IMAGE = {**dict.fromkeys("source_url source_variant declared_width declared_height local_path sha256 downloaded_width downloaded_height file_size format thumbnail_reason ocr_engine ocr_confidence".split(), FILL), **dict.fromkeys("is_probable_thumbnail download_status ocr_status last_error".split(), REPLACE)}

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notefold.functions import text as X
-from notefold.operators import catalog, integrity, rank, reconcile, state
+from notefold.functions.joins import merge_join
+from notefold.operators import catalog, integrity, rank, reconcile, runs, state
 from notefold.sources.tables import table
 
 QUERIES: dict = {}
@@ -82,20 +83,83 @@ def union_refs(s, d):
     return reconcile.union_by_priority(table(s, d, "ocr_results"), ["note_id", "image_index"], "engine", ENGINES, ["ocr_id"])
 
 
+#: Boards say whether more notes follow: fewer counted than expected, as many, or no answer.
+_MORE = "CASE WHEN discovered_count < expected_count THEN true WHEN discovered_count = expected_count THEN false END"
+
+
 @query(f"""WITH n AS {_latest('board_id', 'stage')}, f AS (SELECT board_id, count(*) AS found FROM n WHERE stage <> 'excluded' GROUP BY board_id), j AS (
-SELECT b.board_id, b.expected_count AS expected, coalesce(found, 0) AS found FROM boards b LEFT JOIN f USING (board_id))
-SELECT board_id, expected, found, CASE WHEN expected > 0 THEN greatest(0, expected - found) END AS gap,
-CASE WHEN expected IS NULL OR expected <= 0 THEN 'discovery_completed_without_expected_count' WHEN found = expected THEN 'complete' ELSE 'count_mismatch_unresolved' END AS status FROM j""")
+SELECT b.board_id, b.expected_count AS expected, coalesce(found, 0) AS found, {_MORE} AS more FROM boards b LEFT JOIN f USING (board_id))
+SELECT board_id, expected, found, more AS has_more, CASE WHEN expected > 0 THEN greatest(0, expected - found) END AS gap,
+CASE WHEN expected IS NULL OR expected <= 0 THEN 'discovery_completed_without_expected_count' WHEN found >= expected THEN 'complete' WHEN more = false THEN 'sources_exhausted_but_count_mismatch' WHEN more THEN 'sources_not_exhausted_count_mismatch' ELSE 'count_mismatch_unresolved' END AS status FROM j""")
 def discovery_report(s, d):
     found = latest_notes(s, d, "board_id", "stage").where(F.col("stage") != "excluded").groupBy("board_id").agg(F.count("*").alias("found"))
-    j = table(s, d, "boards").select("board_id", F.col("expected_count").alias("expected")).join(found, "board_id", "left").withColumn("found", F.coalesce("found", F.lit(0)).cast("bigint"))
-    return j.select("board_id", "expected", "found", reconcile.gap(F.col("expected"), F.col("found")).cast("bigint").alias("gap"), reconcile.count_status(F.col("expected"), F.col("found"), F.lit(None).cast("boolean")).alias("status"))
+    more = F.when(F.col("discovered_count") < F.col("expected_count"), F.lit(True)).when(F.col("discovered_count") == F.col("expected_count"), F.lit(False))
+    j = table(s, d, "boards").select("board_id", F.col("expected_count").alias("expected"), more.alias("has_more")).join(found, "board_id", "left").withColumn("found", F.coalesce("found", F.lit(0)).cast("bigint"))
+    return j.select("board_id", "expected", "found", "has_more", reconcile.gap(F.col("expected"), F.col("found")).cast("bigint").alias("gap"), reconcile.count_status(F.col("expected"), F.col("found"), F.col("has_more")).alias("status"))
 
 
-@query("""SELECT note_id, level, stage FROM (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY created_at DESC, event_id DESC, level DESC, stage DESC) AS rn FROM stage_events WHERE note_id IS NOT NULL) WHERE rn = 1""")
+@query("""SELECT note_id, has_more FROM (SELECT note_id, CASE level WHEN 'info' THEN true WHEN 'warning' THEN false END AS has_more, row_number() OVER (PARTITION BY note_id ORDER BY created_at DESC, event_id DESC, level DESC) AS rn FROM stage_events WHERE note_id IS NOT NULL) WHERE rn = 1""")
 def has_more_last(s, d):
+    """The last answer of a note's responses to whether more follow, null where the last gives none."""
     e = table(s, d, "stage_events").where(F.col("note_id").isNotNull())
-    return e.groupBy("note_id").agg(F.max(F.struct("created_at", "event_id", "level", "stage")).alias("m")).select("note_id", "m.level", "m.stage")
+    says = F.when(F.col("m.level") == "info", F.lit(True)).when(F.col("m.level") == "warning", F.lit(False))
+    return e.groupBy("note_id").agg(F.max(F.struct("created_at", "event_id", "level")).alias("m")).select("note_id", says.alias("has_more"))
+
+
+#: Runs of a board are months; a stage stands for the source that saw the note.
+_SOURCE = "CASE stage WHEN 'discovered' THEN 'network' WHEN 'fetching' THEN 'dom' WHEN 'fetched' THEN 'embedded_state' ELSE 'redbook' END"
+_RUNS = f"""n AS {_latest('board_id')}, b AS (SELECT board_id, min(expected_count) AS e FROM boards GROUP BY board_id),
+e AS (SELECT n.board_id AS grp, n.board_id || strftime(created_at, '-%Y-%m') AS run_id, strftime(created_at, '%Y-%m') AS started, {_SOURCE} AS source, note_id AS key, created_at, event_id, level FROM stage_events JOIN n USING (note_id) WHERE n.board_id IS NOT NULL AND stage IS NOT NULL AND created_at IS NOT NULL),
+r AS (SELECT run_id, grp, started, CASE last WHEN 'info' THEN true WHEN 'warning' THEN false END AS has_more, e // 100 AS expected FROM (SELECT run_id, grp, started, arg_max(level, (created_at, event_id, level)) AS last FROM e WHERE level IS NOT NULL GROUP BY ALL) LEFT JOIN b ON b.board_id = grp),
+c AS (SELECT run_id, count(DISTINCT key) FILTER (WHERE source = 'network') AS network_count, count(DISTINCT key) FILTER (WHERE source = 'dom') AS dom_count, count(DISTINCT key) FILTER (WHERE source = 'embedded_state') AS embedded_state_count, count(DISTINCT key) FILTER (WHERE source = 'redbook') AS redbook_count, count(DISTINCT key) AS union_count FROM e GROUP BY run_id),
+w AS (SELECT f AS run_id, count(*) AS new_count FROM (SELECT grp, key, min(run_id) AS f FROM e GROUP BY grp, key) GROUP BY f),
+report AS (SELECT r.run_id, grp, started, expected, has_more, coalesce(network_count, 0) AS network_count, coalesce(dom_count, 0) AS dom_count, coalesce(embedded_state_count, 0) AS embedded_state_count, coalesce(redbook_count, 0) AS redbook_count, coalesce(union_count, 0) AS union_count, coalesce(new_count, 0) AS new_count,
+CASE WHEN expected > 0 THEN greatest(0, expected - coalesce(union_count, 0)) END AS gap, CASE WHEN expected IS NULL OR expected <= 0 THEN 'discovery_completed_without_expected_count' WHEN union_count >= expected THEN 'complete' WHEN has_more = false THEN 'sources_exhausted_but_count_mismatch' WHEN has_more THEN 'sources_not_exhausted_count_mismatch' ELSE 'count_mismatch_unresolved' END AS status,
+coalesce(expected > 0 AND union_count < expected, false) AS possibly_incomplete, coalesce(expected > 0 AND union_count >= expected, false) AS complete FROM r LEFT JOIN c USING (run_id) LEFT JOIN w USING (run_id))"""
+
+
+def _report(s, d):
+    n = latest_notes(s, d, "board_id")
+    source = F.when(F.col("stage") == "discovered", "network").when(F.col("stage") == "fetching", "dom").when(F.col("stage") == "fetched", "embedded_state").otherwise("redbook")
+    month = F.date_format("created_at", "yyyy-MM")
+    e = merge_join(table(s, d, "stage_events").where(F.col("stage").isNotNull() & F.col("created_at").isNotNull()), n.where(F.col("board_id").isNotNull()), "note_id")
+    e = e.select(F.col("board_id").alias("grp"), F.concat_ws("-", "board_id", month).alias("run_id"), month.alias("started"), source.alias("source"), F.col("note_id").alias("key"), "created_at", "event_id", "level")
+    expected = table(s, d, "boards").groupBy("board_id").agg(F.floor(F.min("expected_count") / 100).alias("expected"))
+    last = e.where(F.col("level").isNotNull()).groupBy("run_id", "grp", "started").agg(F.max(F.struct("created_at", "event_id", "level")).alias("m"))
+    has_more = F.when(F.col("m.level") == "info", F.lit(True)).when(F.col("m.level") == "warning", F.lit(False))
+    made = last.join(expected.withColumnRenamed("board_id", "grp"), "grp", "left").select("run_id", "grp", "started", "expected", has_more.alias("has_more"))
+    return runs.reports(made, e.select("run_id", "source", "key"))
+
+
+@query(f"WITH {_RUNS} SELECT * FROM report")
+def run_report(s, d):
+    return _report(s, d)
+
+
+@query(f"WITH {_RUNS} SELECT grp, arg_min(expected, n) AS confirmed FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY started DESC, run_id DESC) AS n FROM report) WHERE n <= 20 AND complete GROUP BY grp")
+def confirmed_counts(s, d):
+    return runs.confirmed_counts(_report(s, d))
+
+
+@query(f"""WITH {_RUNS}, p AS (SELECT *, lag(run_id) OVER v AS previous_run, lag(expected) OVER v AS pe, lag(union_count) OVER v AS pu, lag(gap) OVER v AS pg FROM report WINDOW v AS (PARTITION BY grp ORDER BY started, run_id)),
+q AS (SELECT *, coalesce(pe > 0 AND pg > 0 AND expected = union_count AND pu = union_count AND pe - expected = pg, false) AS resolved FROM p)
+SELECT run_id, grp, started, previous_run, resolved, CASE WHEN resolved THEN pg END AS removed, CASE WHEN resolved AND status = 'complete' THEN 'complete_after_invalid_notes_cleanup' ELSE status END AS status FROM q""")
+def run_resolution(s, d):
+    return runs.resolved(_report(s, d))
+
+
+_IMAGE_COLUMNS = list(state.IMAGE)
+
+
+@query("""WITH i AS (SELECT *, row_number() OVER (PARTITION BY note_id, position ORDER BY image_id) AS a, row_number() OVER (PARTITION BY note_id, position ORDER BY image_id DESC) AS z FROM (SELECT DISTINCT * FROM images WHERE note_id IS NOT NULL AND position IS NOT NULL)),
+b AS (SELECT * FROM i WHERE a = 1), p AS (SELECT * FROM i WHERE z = 1 AND a > 1) SELECT note_id, position, """ + ", ".join(f"CASE WHEN p.note_id IS NOT NULL THEN p.{c} ELSE b.{c} END AS {c}" if r == state.REPLACE else f"coalesce(p.{c}, b.{c}) AS {c}" for c, r in state.IMAGE.items()) + " FROM b LEFT JOIN p USING (note_id, position)")
+def image_upsert(s, d):
+    """The first image row of each position, updated by the last by the rules of its columns."""
+    i = table(s, d, "images").where(F.col("note_id").isNotNull() & F.col("position").isNotNull())
+    row = F.struct(*_IMAGE_COLUMNS)
+    ends = i.groupBy("note_id", "position").agg(F.min_by(row, "image_id").alias("b"), F.max_by(row, "image_id").alias("p"), F.count_distinct("image_id").alias("n"))
+    base, patch = ends.select("note_id", "position", "b.*"), ends.where(F.col("n") > 1).select("note_id", "position", "p.*")
+    return state.merge(base, patch, ["note_id", "position"], state.IMAGE)
 
 
 _LAST = """(SELECT note_id, stage, level FROM (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY created_at DESC, event_id DESC, stage DESC, level DESC) AS rn FROM stage_events WHERE note_id IS NOT NULL) WHERE rn = 1)"""
@@ -256,16 +320,29 @@ def light_tags(s, d):
     return table(s, d, "notes").where(F.col("body_text").isNotNull()).select("note_id", catalog.light_tags(F.col("body_text")).alias("t")).select("note_id", "t.*").distinct()
 
 
-@query()
+@query(rf"""WITH n AS (SELECT DISTINCT note_id, title, body_text FROM notes), m AS (SELECT note_id, title, body_text, length(regexp_replace(coalesce(title, ''), '[^\p{{L}}\p{{N}}]|_', '', 'g')) >= 4 AS good,
+array_to_string(list_filter([{", ".join(f"CASE WHEN contains(body_text, '{h}') THEN '{h}' END" for h in [*X.COMPANIES, *X.ROLES, *X.ROUNDS])}], lambda x: x IS NOT NULL)[1:4], '') AS hints,
+list_filter(list_transform(regexp_split_to_array(coalesce(body_text, ''), '[\r\n]+'), lambda x: trim(x, chr(32) || chr(9) || chr(160) || chr(12288))), lambda x: length(regexp_replace(x, '[^\p{{L}}\p{{N}}]|_', '', 'g')) >= 4)[1] AS line FROM n)
+SELECT note_id, substring(trim(CASE WHEN good THEN title WHEN hints <> '' THEN hints || '面经' WHEN line IS NOT NULL THEN line ELSE '无标题面经_' || substring(note_id, 1, 8) END, chr(32) || chr(9) || chr(160) || chr(12288)), 1, 30) AS summary FROM m""")
 def summary_titles(s, d):
     return table(s, d, "notes").select("note_id", catalog.summary_title(F.col("title"), F.col("body_text"), F.col("note_id")).alias("summary")).distinct()
 
 
-@query()
+#: Fields of a note's head, in order.
+HEAD = ["note_id", "canonical_url", "board_id", "title", "summary_title", "author_name", "author_display_id", "author_profile_id", "publish_time_raw", "publish_time_iso", "stage", "fetched_at", "updated_at"]
+_QUOTED = lambda c: f"coalesce(CAST(to_json(CAST({c} AS VARCHAR)) AS VARCHAR), 'null')"
+_HEAD_SQL = " || chr(10) || ".join(f"'{c}: ' || " + (_QUOTED(f"epoch_us({c})") if c.endswith("_at") else _QUOTED(c)) for c in HEAD)
+
+
+@query(f"""WITH n AS {_latest(*(c for c in [*HEAD[1:], 'body_text'] if c != 'updated_at')).replace('SELECT note_id,', 'SELECT note_id, updated_at,', 1)}, o AS (SELECT note_id, string_agg(text, chr(10) ORDER BY image_index, ocr_id, text) AS ocr FROM (SELECT DISTINCT note_id, image_index, ocr_id, text FROM ocr_results WHERE length(text) > 0 AND note_id IS NOT NULL) GROUP BY note_id)
+SELECT note_id, md5('---' || chr(10) || {_HEAD_SQL} || chr(10) || '---' || chr(10) || '# ' || coalesce(title, '') || chr(10) || coalesce(body_text, '') || coalesce(chr(10) || '## OCR' || chr(10) || ocr, '')) AS md5 FROM n LEFT JOIN o USING (note_id) WHERE stage <> 'excluded'""")
 def note_markdown(s, d):
-    n = latest_notes(s, d, "title", "body_text", "author_name", "board_id", "stage").where(F.col("stage") != "excluded")
-    o = catalog.ordered_text(table(s, d, "ocr_results").select("note_id", "image_index", "ocr_id", "text").distinct(), "note_id", ["image_index", "ocr_id"], "text", "ocr")
-    return n.join(o, "note_id", "left").select("note_id", catalog.markdown(F.col("title"), F.col("body_text"), F.col("ocr"), {k: F.col(k) for k in ("note_id", "author_name", "board_id")}).alias("md"))
+    """Each note as Markdown with its whole head; the digest of the text, for files are what it is for."""
+    n = latest_notes(s, d, *(c for c in [*HEAD[1:], "body_text"] if c != "updated_at"), "updated_at").where(F.col("stage") != "excluded")
+    texts = table(s, d, "ocr_results").where(F.col("note_id").isNotNull()).select("note_id", "image_index", "ocr_id", "text").distinct()
+    o = catalog.ordered_text(texts, "note_id", ["image_index", "ocr_id"], "text", "ocr")
+    fields = {c: F.unix_micros(c) if c.endswith("_at") else F.col(c) for c in HEAD}
+    return merge_join(n, o, "note_id", "left").select("note_id", F.md5(catalog.markdown(F.col("title"), F.col("body_text"), F.col("ocr"), fields)).alias("md5"))
 
 
 @query("SELECT DISTINCT image_id, note_id, position, ocr_status, round(ocr_confidence, 4) AS confidence FROM images WHERE ocr_status IN ('failed', 'needs_review', 'vl_pending')")

@@ -146,7 +146,9 @@ def snapshot_dedupe(s, d):
 
 
 QUERIES = {f.__name__: f for f in (engine_pairs, text_compare, block_match, reading_order, order_conflicts, block_differences, ocr_metrics, critical_tokens, term_corrections, image_quality, review_levels, review_summary, review_text, page_parse, page_links, json_refs, json_state, events_window, events_session, snapshot_dedupe)}
+_READ = """(SELECT note_id, image_index, engine, arg_min(text, ocr_id) AS text FROM (SELECT note_id, image_index, engine, ocr_id, coalesce(text, chr(0)) AS text FROM ocr_results WHERE status IN ('success', 'needs_review')) GROUP BY ALL)"""
 SQL = {
+    "engine_pairs": f"""SELECT l.note_id, l.image_index, l.engine AS left_engine, r.engine AS right_engine, nullif(l.text, chr(0)) AS left_text, nullif(r.text, chr(0)) AS right_text FROM {_READ} l JOIN {_READ} r USING (note_id, image_index) WHERE (l.engine, r.engine) IN (('ppocr', 'apple_vision'), ('ppocr', 'paddleocr_vl'), ('apple_vision', 'paddleocr_vl'))""",
     "page_links": """WITH p AS (SELECT DISTINCT note_id, url, regexp_extract(url, '/(?:explore|discovery/item)/([0-9A-Za-z_-]{8,80})', 1) AS own FROM notes WHERE url IS NOT NULL),
 o AS (SELECT note_id AS page, CAST(1 AS INTEGER) AS ord, own AS note_id, url FROM p WHERE own <> '')
 SELECT * FROM o UNION ALL SELECT note_id AS page, CAST(CASE WHEN own <> '' THEN 2 ELSE 1 END AS INTEGER) AS ord, reverse(note_id) AS note_id, 'https://www.rednote.example/explore/' || reverse(note_id) AS url FROM p WHERE note_id IS NOT NULL AND reverse(note_id) <> own""",

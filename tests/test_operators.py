@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from notefold.functions import compare as C
 from notefold.functions import text as X
-from notefold.operators import catalog, compare, extract, integrity, rank, reconcile, state
+from notefold.operators import catalog, compare, extract, integrity, rank, reconcile, runs, state
 from notefold.sources.images import header
 from notefold.streaming import events
 
@@ -83,7 +83,7 @@ def test_text_comparison(spark):
     assert [r["e"] for r in lists] == [0.5, None, 0.0]
     assert cells(spark, [("1. 用 Redis 3.5万\n2024年\n10、不会",)], "t string", k=C.token_set(F.col("t")))[0]["k"] == ["amount35万", "date2024", "negation不", "number10", "number2024", "number35", "techredis"]
     done = cells(spark, [("htps 与 Mysq1，AI 和 Al", ), (None,)], "t string", c=C.corrected(F.col("t")))
-    assert done[0]["c"].text == "HTTPS 与 MySQL，AI 和 AI" and [tuple(x) for x in done[0]["c"].log] == [("htps", "HTTPS"), ("Al", "AI"), ("Mysq1", "MySQL")] and done[1]["c"].text is None
+    assert done[0]["c"].text == "HTTPS 与 MySQL，AI 和 AI" and [tuple(x) for x in done[0]["c"].log] == [("htps", "HTTPS"), ("Al", "AI"), ("Mysq1", "MySQL")] and done[1]["c"] is None
     assert [r["f"] for r in cells(spark, [(' a/b:c  d. ',), ("___",), (None,)], "t string", f=C.safe_filename(F.col("t")))] == ["a_b_c_d", "untitled", None]
 
 
@@ -163,3 +163,27 @@ def test_stream_equals_batch(spark, tmp_path):
 @pytest.mark.parametrize("url,ok", [("https://h.example/board/1", True), ("https://h.example.:443/board/1?x=1", True), ("http://h.example/board/1", False), ("https://u@h.example/board/1", False), ("https://h.example.evil/board/1", False), ("https://h.example:8443/board/1", False), ("https://h.example/explore/1", False), (None, False)])
 def test_board_url(spark, url, ok):
     assert one(spark, url, lambda c: X.valid_board_url(c, ["h.example"])) is ok
+
+
+def test_runs(spark):
+    made = spark.createDataFrame([("r1", "g", "1", 5, True), ("r2", "g", "2", 4, False), ("r3", "g", "3", None, None)], "run_id string, grp string, started string, expected int, has_more boolean")
+    seen = spark.createDataFrame([(r, s, k) for r, ks in (("r1", "abcd"), ("r2", "abcd")) for k in ks for s in ("network", "dom", "dom")] + [("r1", "dom", None)], "run_id string, source string, key string").where("key IS NOT NULL")
+    report = runs.reports(made, seen)
+    got = {r.run_id: r for r in report.collect()}
+    assert (got["r1"].union_count, got["r1"].new_count, got["r1"].gap, got["r1"].status) == (4, 4, 1, "sources_not_exhausted_count_mismatch")
+    assert (got["r2"].new_count, got["r2"].status, got["r3"].union_count, got["r3"].gap) == (0, "complete", 0, None)
+    assert {(r.run_id, r.resolved, r.removed, r.status) for r in runs.resolved(report).collect()} == {("r1", False, None, "sources_not_exhausted_count_mismatch"), ("r2", True, 1, "complete_after_invalid_notes_cleanup"), ("r3", False, None, "discovery_completed_without_expected_count")}
+    assert [tuple(r) for r in runs.confirmed_counts(report).collect()] == [("g", 4)]
+    first = runs.keep_first(spark.createDataFrame([("k", 2, "b"), ("k", 1, None), ("k", 3, "c")], "k string, t int, v string"), ["k"], ["t"], ["v"])
+    assert [tuple(r) for r in first.collect()] == [("k", "b", 1)]
+    counts = cells(spark, [(0, 7, 9), (5, 7, 9), (None, None, 9), (None, None, None)], "a int, b int, c int", e=runs.expected_count(F.col("a"), F.col("b"), F.col("c")))
+    assert [tuple(r["e"]) for r in counts] == [(7, "page", True), (5, "user", True), (9, "confirmed", False), (None, "unknown", False)]
+
+
+def test_candidates_and_all_thumbnail_reasons(spark):
+    df = spark.createDataFrame([("n", 1, "u1", "WB_DFT", 5), ("n", 1, "u1", "WB_PRV", 4), ("n", 1, "u2", "current-src", 3)], "n string, p int, u string, v string, i int")
+    got = [(r.u, r.place, r.better) for r in rank.candidates(df, ["n"], "p", "u", rank.variant_score(F.col("v")), ["i", "v"]).orderBy("place").collect()]
+    assert got == [("u1", 1, False), ("u2", 2, True)]
+    row = spark.createDataFrame([("http://a/x", 500, 400, None, None, 90000, 800, 400, True, "current-src")], "url string, w int, h int, dw int, dh int, size int, sw int, sh int, better boolean, v string")
+    why = row.select(rank.thumbnail_reasons(*(F.col(c) for c in row.columns))).first()[0]
+    assert why == "downloaded_width_smaller_than_display_width;native_resolution_too_small_for_text_ocr;higher_priority_candidate_available"
