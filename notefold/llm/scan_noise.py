@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notefold.functions.arrow import flat_map_batches, flat_map_partitions
+from notefold.functions.joins import merge_join
 from notefold.llm.lookalikes import normalize_text
 
 #: Counters of each table, a power of two; fixed, so their size is bounded.
@@ -374,7 +375,7 @@ def pages_of(ocr: DataFrame) -> DataFrame:
 def with_headers(pages: DataFrame) -> DataFrame:
     """Pages with ``folds``, the running headers of their note (null without one)."""
     heads = headers(pages).groupBy("note_id").agg(F.collect_set("fold").alias("folds"))
-    return pages.join(heads, "note_id", "left")
+    return merge_join(pages, heads, "note_id", "left")
 
 
 def page_noise(text: str, folds: set[str], model: Model) -> set[str]:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notefold.functions.arrow import flat_map_batches
+from notefold.functions.joins import merge_join
 
 #: Bracketed capitals that are log or list marks rather than slots.
 MARKS = ["ERROR", "WARN", "WARNING", "INFO", "DEBUG", "TRACE", "FATAL", "TODO", "FIXME", "DONE", "OK", "FAIL", "PASS", "IMG", "URL", "NOTE"]
@@ -187,4 +188,4 @@ def residue_found(notes: DataFrame) -> DataFrame:
 def real_content(notes: DataFrame) -> DataFrame:
     """Note rows without residue and with a body that is not blank; extra columns pass through."""
     bad = residue_found(notes).select("note_id").distinct()
-    return notes.where(F.length(F.trim("body_text")) > 0).join(bad, "note_id", "left_anti")
+    return merge_join(notes.where(F.length(F.trim("body_text")) > 0), bad, "note_id", "left_anti")
