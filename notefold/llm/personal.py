@@ -156,15 +156,15 @@ def key_of(term: str) -> str:
     return term.replace("-", "") if term.isascii() else term
 
 
-def cued_names(v: str) -> list[tuple[str, int, int]]:
-    """(term, start, end) of candidates in a context that speaks of a person."""
+def cued_names(v: str, pairs: list[tuple[str, int, int]] | None = None) -> list[tuple[str, int, int]]:
+    """(term, start, end) of candidates in a context that speaks of a person; ``pairs`` are the English ones, if known."""
     found: dict[tuple[int, int], str] = {}
     for rx, g in NAME_RULES:
         for m in rx.finditer(v):
             span = m.span(g)
             if not any(s < span[1] and span[0] < e for s, e in found):
                 found[span] = m.group(g)
-    for term, s, e in english(v):
+    for term, s, e in english(v) if pairs is None else pairs:
         if CUE_LEFT.search(v[max(0, s - 28) : s]) or CUE_RIGHT.match(v, e):
             found[s, e] = key_of(term)
     return [(term, s, e) for (s, e), term in found.items()]
@@ -203,9 +203,10 @@ def cues(texts: DataFrame) -> DataFrame:
             v, _, _ = view(text)
             for kind in {kind for kind, _, _ in structured(v)}:
                 yield f, k, kind, None, 1
-            for term in {term for term, _, _ in cued_names(v)}:
+            pairs = list(english(v))
+            for term in {term for term, _, _ in cued_names(v, pairs)}:
                 yield f, k, "name", term, 1
-            candidates += sum(1 for _ in SURNAME_AT.finditer(v)) + sum(1 for _ in PLAIN_EN.finditer(v))
+            candidates += len({s for _, s, _ in pairs}) + (0 if v.isascii() else len(SURNAME_AT.findall(v)))
         yield None, None, None, None, candidates
 
     return flat_map_batches(texts.select("field", "record_key", "text"), scan, "field string, record_key string, kind string, term string, n bigint")
