@@ -456,9 +456,9 @@ def repair(text: str | None, folds: set[str], model: Model) -> str | None:
 
 
 def paragraphs(ocr: DataFrame) -> DataFrame:
-    """(ocr_id, paragraphs) of every page; blocks stand in for a page whose text is null."""
+    """(ocr_id, paragraphs) of every page; blocks stand in for a page whose text is null or empty."""
     lines = F.concat_ws("\n", F.transform(F.array_sort(F.transform("blocks", lambda b: F.struct(F.coalesce(F.get(b["box"], F.lit(1)), F.lit(0.0)).alias("y"), F.coalesce(F.get(b["box"], F.lit(0)), F.lit(0.0)).alias("x"), b["text"].alias("text")))), lambda b: b["text"]))
-    pages = pages_of(ocr.withColumn("text", F.coalesce("text", lines)))
+    pages = pages_of(ocr.withColumn("text", F.coalesce(F.nullif(F.col("text"), F.lit("")), lines)))
     model = model_of(pages)
 
     def mend(ids, texts, folds):
