@@ -1,6 +1,9 @@
 import random
+import time
 
+import numpy as np
 import pytest
+import regex
 
 from notefold.llm import garbled, lookalikes, markup, personal, scan_noise, template_residue
 
@@ -184,3 +187,24 @@ def test_scan_noise(spark):
     text = {r.ocr_id: r.paragraphs for r in scan_noise.paragraphs(rows).collect()}
     assert text["p3"] == "We asked about the Kafka cluster and the tester" and text["p1"] == base.strip() and "mentioned tester" in text["p2"]
     assert scan_noise.noise_found(ocr(spark, [])).count() == 0
+
+
+def test_scan_noise_of_a_long_run():
+    """The work on a run of letters grows with its length, not with its square; what is found beside it stays."""
+    text = "a" * 30_000 + "\nwe men-\ntioned it @ 5"
+    began = time.thread_time()
+    assert [(whole, text[a:b]) for a, b, whole in scan_noise.split_words(text, scan_noise.Model(*np.zeros((2, scan_noise.BINS), np.float32)))] == [("mentioned", "men-\ntioned")]
+    assert len(scan_noise.units_of(text)) == 7 and time.thread_time() - began < 2
+
+
+def test_scan_noise_expressions():
+    """Each finds the same as its plain form."""
+    plain = [
+        (scan_noise.UNIT, r"[A-Za-zÀ-ÿœ0-9@|$£]+|\p{Han}"), (scan_noise.HAN_BREAK, r"(?<=\p{Han})\n(?=\p{Han})"),
+        (scan_noise.MASK, r"[A-Za-z0-9._+-]++\s?[@＠#]\s?[A-Za-z0-9-]++\.[A-Za-z0-9.-]++|https?://\S+|[A-Za-z0-9._+-]++ ?[\[(](?:at|AT)[\])]|(?<![A-Za-z0-9._-])[A-Za-z]++(?:[._-][A-Za-z]++)++\d++"),
+        (scan_noise.SPLIT_WORD, r"([A-Za-zÀ-ÿœ0-9@]+)([-‐‑¬])[ \t]*\n[ \t]*([A-Za-zÀ-ÿœ0-9@]+)(?![A-Za-z0-9._-]*\s?[@＠#(\[])"),
+    ]
+    rng = random.Random(7)
+    texts = ["".join(map(chr, range(0x40000))), *("".join(rng.choices([*"abZ1éœ@@＠#.--_+ \n中文([", "-\n", "‐\n", "(at)", "[at]", "http://"], k=rng.randint(1, 22))) for _ in range(3_000))]
+    for fast, slow in plain:
+        assert all([m.span() for m in fast.finditer(t)] == [m.span() for m in regex.finditer(slow, t)] for t in texts)
